@@ -12,8 +12,10 @@ key with probability 0.37 ** 12 = 6e-6.
 Documents with equal sets are one class from the start. A key's classes are first compared with
 the smallest of them (a star, never all pairs); the links that the full sets confirm give
 components. Then the pairs of a key that are still in different components are compared, less
-those whose 240-bit sketches differ by more than ``sketch_limit`` bits. A pair inside one
-component needs no look, since it can't change the result, so no connection is lost.
+those whose parity sketches rule a link out: a sketch has a bit for each of 2048 hash values, the
+parity of the set's shingles there, so two sketches never differ in more bits than the sets do in
+shingles. A pair inside one component needs no look, since it can't change the result. Neither
+loses a connection.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from .common import saved, slices, text_buffer
 
 SHINGLE_WORDS, CHUNKS, WIDTH, ERRORS = 5, 12, 5, 1
 SLICE = 1 << 21
+SKETCH_LONGS = 32
 #: 8 bytes each: a broadcast of a few MB.
 BROADCAST_IDS = 250_000
 
@@ -68,9 +71,10 @@ def chunk_keys(symbols: np.ndarray, chunks: int, width: int, errors: int) -> np.
     return np.concatenate(out, axis=1).view(np.int64)
 
 
-def _sketch(symbols: np.ndarray) -> list[np.ndarray]:
-    place = U(1) << np.arange(symbols.shape[1], dtype=U)
-    return [(((symbols >> np.uint16(b)) & np.uint16(1)).astype(U) * place).sum(axis=1, dtype=U).view(np.int64) for b in range(4)]
+def parity_sketch(items: np.ndarray) -> np.ndarray:
+    """SKETCH_LONGS * 64 bits: the parity of how many items fall on each bit."""
+    hit = np.bincount((items >> U(20)) & U(64 * SKETCH_LONGS - 1), minlength=64 * SKETCH_LONGS) & 1
+    return np.packbits(hit.astype(bool)).view(np.int64)
 
 
 def sign(df: DataFrame, id_col: str, text_col: str, shingle_words: int, functions: int) -> DataFrame:
@@ -105,13 +109,15 @@ def _keys(classes: DataFrame, functions: int, chunks: int, width: int, errors: i
     return classes.select("id", "n", "symbols").mapInArrow(run, "key long, id long, n long")
 
 
-def _sketched(classes: DataFrame, functions: int) -> DataFrame:
+def _sketched(full: DataFrame) -> DataFrame:
+    names = ["id", *(f"k{j}" for j in range(SKETCH_LONGS))]
+
     def run(batches):
         for batch in batches:
-            symbols = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, functions)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _sketch(symbols))], ["id", "k0", "k1", "k2", "k3"])
+            bits = np.array([parity_sketch(np.frombuffer(x.as_buffer(), U)) for x in batch.column(1)], np.int64).reshape(-1, SKETCH_LONGS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(bits[:, j])) for j in range(SKETCH_LONGS))], names)
 
-    return classes.select("id", "symbols").mapInArrow(run, "id long, k0 long, k1 long, k2 long, k3 long")
+    return full.select("id", "items").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _full_sets(wanted: DataFrame, texts: DataFrame, shingle_words: int) -> DataFrame:
@@ -175,7 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle_words: int = SHINGLE_WORDS,
-    chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS, sketch_limit: int = 84,
+    chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS,
 ) -> DataFrame:
     """One row for each row of ``df``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -203,12 +209,14 @@ def near_duplicates(
     label = labels.select(F.col("id"), "label")
     tagged = members.select("key", "id", "n").join(label, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("part"))
     open_keys = tagged.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
-    sketches = _sketched(classes, functions)
+    sketches = _sketched(full)
     rest = saved(tagged.join(open_keys, "key", "left_semi").join(sketches, "id"), "rest")
     x = rest.select("key", *[F.col(c).alias(f"x_{c}") for c in rest.columns if c != "key"])
     y = rest.select("key", *[F.col(c).alias(f"y_{c}") for c in rest.columns if c != "key"])
-    apart = " + ".join(f"bit_count(x_k{b} ^ y_k{b})" for b in range(4))
-    pairs = x.join(y, (x["key"] == y["key"]) & F.expr(f"x_id < y_id and x_part <> y_part and {apart} <= {sketch_limit}") & fits("x_n", "y_n"))
+    apart = " + ".join(f"bit_count(x_k{j} ^ y_k{j})" for j in range(SKETCH_LONGS))
+    # The sets of a link differ in (100 - percent) / (100 + percent) of their sizes' sum at most.
+    near = f"x_id < y_id and x_part <> y_part and {100 + percent} * ({apart}) <= {100 - percent} * (x_n + y_n)"
+    pairs = x.join(y, (x["key"] == y["key"]) & F.expr(near) & fits("x_n", "y_n"))
     pairs = saved(pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     more = saved(_confirm(pairs, full, percent), "more")
     # An id whose rows have different sets holds their classes together.
