@@ -16,6 +16,7 @@ BLOCK = 1 << 19
 #: \x20 and \x09-\x0D separate words.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
+SAME = np.arange(256, dtype=np.uint8)
 #: All ASCII but letters and digits separates words.
 NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
@@ -63,9 +64,16 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray, block: i
 
 def hashed_words(buf, offsets, separators=WHITE, block=BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order (A-Z as a-z), and each text's number of words."""
-    hashes, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    hashes, counts, _, _ = placed_words(buf, offsets, separators, LOWER, block)
+    return hashes, counts
+
+
+def placed_words(buf, offsets, separators, fold, block=BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words' hashes after ``fold``, the number of words of each text, and the words' places
+    in ``buf``: starts and ends."""
+    hashes, owners, firsts, lasts = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo, hi in _cuts(buf, offsets, separators, block):
-        part = LOWER[buf[lo:hi]]
+        part = fold[buf[lo:hi]]
         inside = ~separators[part]
         first = np.zeros(hi - lo + 1, bool)
         at = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, side="right")] - lo
@@ -81,7 +89,9 @@ def hashed_words(buf, offsets, separators=WHITE, block=BLOCK) -> tuple[np.ndarra
         h = (sums[ends] - sums[starts]) * inverse[starts]
         hashes.append(mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93)))
         owners.append(np.searchsorted(offsets, starts + lo, side="right") - 1)
-    return np.concatenate(hashes), np.bincount(np.concatenate(owners), minlength=len(offsets) - 1)
+        firsts.append(starts + lo)
+        lasts.append(ends + lo)
+    return np.concatenate(hashes), np.bincount(np.concatenate(owners), minlength=len(offsets) - 1), np.concatenate(firsts), np.concatenate(lasts)
 
 
 def hash_word(word: str) -> int:

@@ -57,13 +57,14 @@ class Generations:
     def __init__(self, size: int):
         self.size, self.young, self.old = size, {}, {}
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.size:
+    def take(self, keys: set) -> dict:
+        """What is known of ``keys``; it stays in the young generation."""
+        found = {k: self.young[k] for k in keys & self.young.keys()}
+        again = {k: self.old[k] for k in keys & self.old.keys() if k not in found}
+        self.add(again)
+        return found | again
+
+    def add(self, fresh: dict) -> None:
+        if len(self.young) + len(fresh) > self.size:
             self.old, self.young = self.young, {}
-        self.young[key] = value
-
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
+        self.young.update(fresh)

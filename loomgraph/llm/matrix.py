@@ -14,7 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import END_ID, encoder, text_groups
+from .common import slices, text_buffer
+from .tokens import END_ID, encoder
 
 WINDOW_TOKENS = 1 << 22
 
@@ -108,15 +109,18 @@ def token_matrix(df: DataFrame, tokenizer_path: str, row_length: int = 4096, id_
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
-            for group in text_groups(batch.column(1).fill_null("").to_pylist()):
-                for doc, raw in zip(ids[at : at + len(group)], enc.texts(group), strict=True):
-                    raw += end
-                    runs += [(doc, k, raw[lo : lo + width]) for k, lo in enumerate(range(0, len(raw), width))]
+            docs = batch.column(0).to_pylist()
+            buf, offsets = text_buffer(batch.column(1))
+            for lo, hi in slices(offsets, 1 << 21):
+                base = int(offsets[lo])
+                ids, at = enc.buffer(buf[base : offsets[hi]], offsets[lo : hi + 1] - base)
+                every, at = ids.tobytes(), (4 * at).tolist()
+                for doc, a, b in zip(docs[lo:hi], at[:-1], at[1:], strict=True):
+                    raw = every[a:b] + end
+                    runs += [(doc, k, raw[cut : cut + width]) for k, cut in enumerate(range(0, len(raw), width))]
                     held += len(raw) // 4
                     if held >= window_tokens:
                         yield from map(batch_of, flush())
-                at += len(group)
         if runs:
             yield from map(batch_of, flush())
 

@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import U
-from .common import Generations
-from .tokens import text_groups
+from .common import Generations, slices, text_buffer
+from .wordcache import WordIds
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_ODD = 1_000_000, 100_000
+_SPACE_ONLY = np.arange(256) == 0x20
 _B = U(0x9E3779B97F4A7C15)
 _models: dict[str, PieceModel] = {}
 
@@ -63,6 +64,25 @@ def _fields(raw: bytes):
         yield key >> 3, value
 
 
+class Lookup:
+    """Values of 64-bit keys, -1 for others. A table of hash bits first rules most others out."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.seen = np.zeros(1 << 21, bool)
+        self.seen[(self.keys.astype(U) * _B) >> U(43)] = True
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, np.int64)
+        maybe = np.flatnonzero(self.seen[(keys.astype(U) * _B) >> U(43)])
+        if maybe.size:
+            at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
+            hit = self.keys[at] == keys[maybe]
+            out[maybe[hit]] = self.values[at[hit]]
+        return out
+
+
 class PieceModel:
     """Pieces of a ``.model`` file with the tables that the Viterbi pass needs. The file may have
     no normalisation rules beyond the space marks."""
@@ -95,11 +115,10 @@ class PieceModel:
         self.unk_score = float(self.scores[self.kinds == NORMAL].min(initial=0.0)) - 10.0
         ids = np.array(list(self.normal.values()), np.int64)
         hashes = np.array([int(self._hash(np.array([[ord(c) for c in p]]))[0]) for p in self.normal], U) if self.normal else np.zeros(0, U)
-        order = np.argsort(hashes)
-        self.keys, self.ids = hashes[order], ids[order]
+        self.by_hash = Lookup(hashes, ids)
         if self.kind == BPE:
             self._merge_tables()
-        self.cache = Generations(CACHE_WORDS)
+        self.cache, self.odd = WordIds(CACHE_WORDS), Generations(CACHE_ODD)
         # What decoding writes for each id.
         shown = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in pieces]
         self.shown, self.shown_len = np.frombuffer(b"".join(shown), np.uint8), np.array([len(x) for x in shown])
@@ -141,8 +160,7 @@ class PieceModel:
             raise ValueError("a piece has a character that is no piece")
         keys = np.array([a * n + b for a, b in pairs], np.int64)
         made = np.array(list(pairs.values()), np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_made = keys[order], made[order]
+        self.pairs = Lookup(keys, self.rank[made])
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves the border between pieces ``a`` and ``b`` (-1: no piece) alone.
@@ -157,11 +175,9 @@ class PieceModel:
         px, py = np.full(len(x), far), np.full(len(x), far)
         n = len(self.pieces)
         while len(open_):
-            key = x * n + y
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            rank = np.where(self.pair_keys[at] == key, self.rank[self.pair_made[at]], far)
+            rank = self.pairs.get(x * n + y)
             rx, ry = self.rank[x], self.rank[y]
-            crossed = (rank < far) & (rank < px) & (rank <= py)
+            crossed = (rank >= 0) & (rank < px) & (rank <= py)
             ok[open_[crossed]] = False
             go = ~crossed & ((rx >= 0) | (ry >= 0))
             open_, x, y, px, py, rx, ry = (v[go] for v in (open_, x, y, px, py, rx, ry))
@@ -188,9 +204,7 @@ class PieceModel:
         for j in range(1, n + 1):
             best[j] = -np.inf
             for size in range(1, min(j, self.longest) + 1):
-                h = prefix[j] - prefix[j - size] * power[size]
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                piece = np.where(self.keys[at] == h, self.ids[at], -1)
+                piece = self.by_hash.get(prefix[j] - prefix[j - size] * power[size])
                 if size == 1:
                     use = np.arange(w)
                 else:
@@ -253,29 +267,46 @@ class PieceModel:
                 out.update(zip(part, self._viterbi(points), strict=True))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _spaced(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts with any spaces."""
+        split = [re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", (SPACE if self.dummy_prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
+        words = set().union(*split)
+        known = self.odd.take(words)
+        fresh = self.words([w for w in words if w not in known])
+        self.odd.add(fresh)
+        known.update(fresh)
+        return [b"".join([known[w] for w in words]) for words in split]
+
+    def _after_space(self, raw: list[bytes]) -> list[bytes]:
+        words = [SPACE + w.decode("utf-8", "replace") for w in raw]
+        made = self.words(list(set(words)))
+        return [made[w] for w in words]
+
+    def encode_buffer(self, buf: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = []
-        for t in texts:
-            if not t:
-                split.append([])
-            elif self.dummy_prefix and t[0] != " " and "  " not in t and SPACE not in t and t[-1] != " ":
-                split.append(t.split(" "))  # each word stands for one space and itself
-            else:
-                marked = (SPACE if self.dummy_prefix else "") + t.replace(" ", SPACE)
-                split.append([x[1:] if x[0] == SPACE and x[1:2] not in ("", SPACE) else "\0" + x for x in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", marked)])
-        young, old = self.cache.young, self.cache.old
-        need = {w for words in split for w in words if w not in young}
-        known = {w: old[w] for w in need if w in old}
-        real = {w: w[1:] if w[:1] == "\0" else SPACE + w for w in need if w not in known}
-        made = self.words(list(set(real.values())))
-        known.update({w: made[r] for w, r in real.items()})
-        if len(young) + len(known) > self.cache.size:
-            known.update({w: young[w] for words in split for w in words if w in young})
-            self.cache.old, self.cache.young = young, {}
-        self.cache.young.update(known)
-        get = self.cache.young.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        n = len(offsets) - 1
+        # A text without a double, leading or trailing space or a space mark is its words, each
+        # with one space before it.
+        plain = np.full(n, self.dummy_prefix)
+        space = np.concatenate((buf == 0x20, [False]))
+        of = lambda at: np.searchsorted(offsets, at, side="right") - 1
+        plain[of(np.flatnonzero(space[:-1] & space[1:]))] = False
+        full = np.flatnonzero(offsets[1:] > offsets[:-1])
+        plain[full[space[offsets[full]] | space[offsets[full + 1] - 1]]] = False
+        mark = np.flatnonzero(buf == 0xE2)
+        mark = mark[(mark + 2 < len(buf))]
+        plain[of(mark[(buf[mark + 1] == 0x96) & (buf[mark + 2] == 0x81)])] = False
+        ids, at = self.cache.encode(buf, offsets, _SPACE_ONLY, self._after_space)
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        out = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        other = np.flatnonzero(~plain).tolist()
+        for i, x in zip(other, self._spaced([buf[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in other]), strict=True):
+            out[i] = x
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        return self.encode_buffer(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text that ``ids`` spell, without the space put before it."""
@@ -299,8 +330,10 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         m = model(model_path)
         for batch in batches:
-            ids = [x for group in text_groups(batch.column(1).fill_null("").to_pylist(), 1 << 22) for x in m.encode(group)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            buf, offsets = text_buffer(batch.column(1))
+            for lo, hi in slices(offsets, 1 << 22):
+                ids = m.encode_buffer(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 

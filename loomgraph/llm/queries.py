@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, langid, matrix, neardup, ordered, packing, pieces, secrets, spotsigs, tokencount, tokens, topk
+from .common import shared_dir
 
 CAPACITY = 4096
 
@@ -54,7 +56,9 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), limit=CAPACITY)
+    # A cache of its own: the query counts every distinct text anew.
+    cache = f"{shared_dir(spark)}/loomgraph/token_cache-{uuid.uuid4().hex}"
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), cache, limit=CAPACITY)
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,10 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations
+from .common import Generations, slices, text_buffer
+from .wordcache import WordIds
 
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_STEMS = 1_000_000, 100_000
+#: Space, tab and line ends.
+SEPARATORS = np.zeros(256, bool)
+SEPARATORS[[0x20, 0x09, 0x0A, 0x0D]] = True
 END_ID = 1
+#: Marks that may follow a word; each is a word of its own to the tokenizer.
+MARKS = ".,;:!?|"
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -31,33 +37,69 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = Generations(CACHE_WORDS)
+        self.cache, self.stems = WordIds(CACHE_WORDS), Generations(CACHE_STEMS)
+        self.marks = dict(zip(MARKS, self._words(list(MARKS)), strict=True)) | {"": b""}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.lowers = '"Lowercase"' in json.dumps(spec.get("normalizer"))
         # Words may be encoded apart only if the pre-tokenizer drops white space.
         self.by_word = '"Removed"' in json.dumps(spec.get("pre_tokenizer")) and "\\\\s" in json.dumps(spec.get("pre_tokenizer")) and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"] for t in spec.get("added_tokens") or [])
 
     def _words(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self._words(texts)
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        young, old = self.cache.young, self.cache.old
-        missing = list({w for words in split for w in words if w not in young and w not in old})
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone, encoded as one text; each is one word to the tokenizer too."""
+        coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        of = np.array(coded.word_ids, np.int64)
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)]))
+        if len(cuts) != len(words) + 1:
+            return self._words(words)
+        raw, cuts = np.array(coded.ids, "<u4").tobytes(), (4 * cuts).tolist()
+        return [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _missing(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of new words. A word of letters and one mark after them is both apart, and plain
+        letters count in lower case, if the tokenizer lowers them anyhow."""
+        parts: list[tuple[str, str]] = []
+        stems: set[str] = set()
+        others: set[str] = set()
+        for w in raw:
+            w = w.decode("utf-8", "replace")
+            mark = w[-1]
+            stem, mark = (w[:-1], mark) if mark in MARKS else (w, "")
+            if stem.isalpha():
+                if self.lowers and stem.isascii():
+                    stem = stem.lower()
+                stems.add(stem)
+                parts.append((stem, mark))
+            else:
+                others.add(w)
+                parts.append((w, ""))
+        known = self.stems.take(stems)
+        letters, odd = [x for x in stems if x not in known], list(others)
         fresh: dict[str, bytes] = {}
-        for lo in range(0, len(missing), 20_000):
-            part = missing[lo : lo + 20_000]
-            fresh.update(zip(part, self._words(part), strict=True))
-        known = fresh | {w: old[w] for words in split for w in words if w in old} if old else fresh
-        room = len(young) + len(known) <= self.cache.size
-        if not room:
-            self.cache.old, self.cache.young = young, {}
-            known = known | {w: young[w] for words in split for w in words if w in young}
-        self.cache.young.update(known)
-        get = self.cache.young.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        for lo in range(0, len(letters), 10_000):
+            fresh.update(zip(letters[lo : lo + 10_000], self._letters(letters[lo : lo + 10_000]), strict=True))
+        self.stems.add(fresh)
+        known.update(fresh)
+        for lo in range(0, len(odd), 10_000):
+            known.update(zip(odd[lo : lo + 10_000], self._words(odd[lo : lo + 10_000]), strict=True))
+        marks = self.marks
+        return [known[stem] + marks[mark] for stem, mark in parts]
+
+    def buffer(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids and the n + 1 offsets of each text's."""
+        if self.by_word:
+            return self.cache.encode(buf, offsets, SEPARATORS, self._missing)
+        texts = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        ids = self._words(texts)
+        return np.frombuffer(b"".join(ids), "<u4"), np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids])))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        ids, at = self.buffer(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -92,15 +134,18 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc
     def run(batches):
         enc = encoder(tokenizer_path)
         for batch in batches:
-            ids, at = batch.column(0).to_pylist(), 0
-            for group in text_groups(batch.column(1).fill_null("").to_pylist()):
+            docs = batch.column(0).to_pylist()
+            buf, offsets = text_buffer(batch.column(1))
+            for lo, hi in slices(offsets, 1 << 21):
+                base = int(offsets[lo])
+                ids, at = enc.buffer(buf[base : offsets[hi]], offsets[lo : hi + 1] - base)
+                raw, at = ids.tobytes(), (4 * at).tolist()
                 rows: list[tuple] = []
-                for doc, raw in zip(ids[at : at + len(group)], enc.texts(group), strict=True):
-                    raw += end
-                    for k, lo in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[lo : lo + 4 * capacity]
-                        rows.append((doc, k, lo // 4, len(part) // 4, zlib.crc32(part), part)[: len(fields)])
-                at += len(group)
+                for doc, a, b in zip(docs[lo:hi], at[:-1], at[1:], strict=True):
+                    whole = raw[a:b] + end
+                    for k, cut in enumerate(range(0, len(whole), 4 * capacity)):
+                        part = whole[cut : cut + 4 * capacity]
+                        rows.append((doc, k, cut // 4, len(part) // 4, zlib.crc32(part), part)[: len(fields)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f[1]) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=schema)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
