@@ -29,7 +29,7 @@ from .wordcache import WordIds
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE_WORDS, CACHE_ODD = 1_000_000, 100_000
+CACHE_WORDS, CACHE_ODD = 700_000, 50_000
 _SPACE_ONLY = np.arange(256) == 0x20
 _B = U(0x9E3779B97F4A7C15)
 _models: dict[str, PieceModel] = {}
@@ -260,7 +260,7 @@ class PieceModel:
             by.setdefault(len(x), []).append(x)
         out = {}
         for n, group in by.items():
-            step = max(1, min(20_000, 2_000_000 // (n + 1)))
+            step = max(1, min(10_000, 1_000_000 // (n + 1)))
             for lo in range(0, len(group), step):
                 part = group[lo : lo + step]
                 points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
@@ -331,7 +331,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
         m = model(model_path)
         for batch in batches:
             buf, offsets = text_buffer(batch.column(1))
-            for lo, hi in slices(offsets, 1 << 22):
+            for lo, hi in slices(offsets, 1 << 21):
                 ids = m.encode_buffer(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -347,8 +347,10 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         m = model(model_path)
         for batch in batches:
-            texts = [None if x is None else m.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, "text"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = [None if x is None else m.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, "text"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields)
     return df.select(*kept).mapInArrow(run, f"{ddl}, text string")
