@@ -1,37 +1,13 @@
-"""Shared helpers: the folder all executors see, tables written there, and Arrow text buffers."""
+"""Shared helpers: Arrow text buffers, slices of them, and a bounded cache."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local master gets a
-    temporary folder and a cluster the warehouse, which all its machines share."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="loomgraph-"))
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomgraph_shared"
-
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: it cuts the lineage, and
-    the loss of an executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..session import saved, shared_dir
 
+__all__ = ["Generations", "saved", "shared_dir", "slices", "text_buffer"]
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n + 1 offsets of a string column; null counts as the empty text."""
