@@ -9,6 +9,7 @@ from ..session import saved, shared_dir
 
 __all__ = ["Generations", "saved", "shared_dir", "slices", "text_buffer"]
 
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n + 1 offsets of a string column; null counts as the empty text."""
     column = column.cast(pa.large_string()).fill_null("")
