@@ -1,6 +1,8 @@
 """SpotSigs fingerprints.
 
 A signature is a chain: a common word (an anchor) and the next ``chain`` content words after it.
+So that texts without listed common words have spots too, every word whose hash falls in one of
+SAMPLED parts is an anchor as well, while it stays a content word.
 A document's fingerprint is the sorted set of its signatures' 32-bit hashes. Fingerprints are
 partitioned by their length, since a Jaccard similarity of t needs lengths within the factor t,
 and compared only where lengths and a shared rare signature allow it.
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from .bytewords import NOT_WORD, U, hash_word, hashed_words, mix
 from .common import saved, slices, text_buffer
 
-CHAIN = 2
+CHAIN, SAMPLED = 2, 8
 #: Common words of English, German, French and Spanish.
 ANCHORS = """
 a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their there they this to was were which will with would you
@@ -37,7 +39,7 @@ def signatures(buf: np.ndarray, offsets: np.ndarray, chain: int = CHAIN, anchors
     is_anchor = anchors[at] == words
     content = np.flatnonzero(~is_anchor)
     before = np.cumsum(~is_anchor)
-    spots = np.flatnonzero(is_anchor)
+    spots = np.flatnonzero(is_anchor | ((words >> U(40)) % U(SAMPLED) == 0))
     nth = before[spots]  # the first content word after an anchor
     good = nth + chain <= len(content)
     spots, nth = spots[good], nth[good]

@@ -259,7 +259,8 @@ def slow_spots(text):
     anchors = {a.encode() for a in spotsigs.ANCHORS}
     out = set()
     for i, w in enumerate(words):
-        follow = [x for x in words[i + 1 :] if x not in anchors][:2] if w in anchors else []
+        spot = w in anchors or (bytewords.hash_word(w.decode()) >> 40) % spotsigs.SAMPLED == 0
+        follow = [x for x in words[i + 1 :] if x not in anchors][:2] if spot else []
         if len(follow) == 2:
             out.add((w, *follow))
     return out
