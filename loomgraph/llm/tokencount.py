@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import saved, shared_dir
 from .tokens import text_groups
 
 SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -88,6 +88,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = No
     misses = with_text.dropDuplicates(["digest"]).join(stored.select("digest"), "digest", "left_anti")
     fresh = misses.mapInArrow(encode, "digest binary, n_tokens long")
     fresh.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    counts = _stored(spark, cache_path, tokenizer)
+    # Written first: then a join under a hot digest is dealt anew, which sums in its stage prevent.
+    counts = saved(_stored(spark, cache_path, tokenizer), "counts")
     out = keyed.join(counts, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
