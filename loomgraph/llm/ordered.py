@@ -42,5 +42,6 @@ def with_next(df: DataFrame, id_col: str, text_col: str, partitions: int) -> Dat
         return pd.Series([[{"bucket": int(b), "own": True}] + [{"bucket": int(p), "own": False}] * bool(f) for b, p, f in zip(own, prior[at], first, strict=True)])
 
     spread = base.withColumn("key", low).withColumn("p", F.explode(places("key")))
-    dealt = spread.select("id", "text", "p.bucket", "p.own", "key").repartition(partitions, "bucket")
+    # By number, not by hash: no partition gets several buckets.
+    dealt = spread.select("id", "text", "p.bucket", "p.own", "key").repartitionById(partitions, F.col("bucket").cast("int"))
     return dealt.sortWithinPartitions("bucket", F.desc("own"), "key", "text")
