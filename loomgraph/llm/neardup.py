@@ -156,27 +156,33 @@ def _confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(compare, "a long, b long")
 
 
+def _smaller_first(a: str, b: str) -> list:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``id, label`` of the ids in ``edges`` (u, v): the smallest id that is reachable. An id that
-    is its own label may be missing. Each round hooks every id to its smallest smaller
-    neighbour, follows one more hook and contracts, so rounds grow with the logarithm."""
-    edge = saved(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct(), "edges")
-    labels = None
-    while not edge.isEmpty():
-        up = edge.groupBy(F.col("v").alias("id")).agg(F.min("u").alias("up"))
-        over = up.select(F.col("id").alias("up"), F.col("up").alias("over"))
-        hook = saved(up.join(over, "up", "left").select("id", F.coalesce("over", "up").alias("up")), "hooks")
-        to_u = hook.select(F.col("id").alias("u"), F.col("up").alias("new_u"))
-        to_v = hook.select(F.col("id").alias("v"), F.col("up").alias("new_v"))
-        moved = edge.join(to_u, "u", "left").join(to_v, "v", "left").select(F.coalesce("new_u", "u").alias("x"), F.coalesce("new_v", "v").alias("y"))
-        edge = saved(moved.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).filter("u < v").distinct(), "edges")
-        fresh = hook.select("id", F.col("up").alias("label"))
-        if labels is None:
-            labels = fresh
-        else:
-            step = hook.select(F.col("id").alias("label"), "up")
-            labels = saved(labels.join(step, "label", "left").select("id", F.coalesce("up", "label").alias("label")).unionByName(fresh), "labels")
-    return labels if labels is not None else edge.select(F.col("u").alias("id"), F.col("v").alias("label"))
+    is its own label is missing.
+
+    A round takes two steps, which keep the components. First every id hands the smallest of
+    itself and all its neighbours to its larger neighbours, then to its smaller ones and itself.
+    An edge's smaller end thus jumps, as pointers do when they are doubled: a chain of length n
+    takes about log2(n) rounds, whatever the order of its ids. No id's neighbours meet in one
+    task: each step is a minimum and a join. The rounds end when every id has either one smaller
+    neighbour or only larger ones, so that the edges are the result.
+    """
+    edge = saved(edges.select(*_smaller_first("u", "v")).filter("u < v").distinct(), "edges")
+    while True:
+        roles = edge.select(F.col("v").alias("id"), F.lit(1).alias("n")).unionByName(edge.select(F.col("u").alias("id"), F.lit(0).alias("n")))
+        held = roles.groupBy("id").agg(F.sum("n").alias("up"), F.min("n").alias("kind"))
+        if held.filter("up > 1 or (up = 1 and kind = 0)").isEmpty():
+            return edge.select(F.col("v").alias("id"), F.col("u").alias("label"))
+        both = edge.unionByName(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
+        large = edge.join(least, "u").select(F.col("least").alias("u"), "v").distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("least"))
+        small = large.join(least, "v").select(F.col("least").alias("u"), F.explode(F.array("u", "v")).alias("v"))
+        edge = saved(small.filter("u < v").distinct(), "edges")
 
 
 def near_duplicates(
@@ -223,7 +229,8 @@ def near_duplicates(
     ids = in_classes.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("id")
     same = in_classes.join(ids, "id", "left_semi").select("id", "digest").join(classes.select("digest", F.col("id").alias("v")), "digest").select(F.col("id").alias("u"), "v")
     if not more.isEmpty() or not same.isEmpty():
-        labels = components(links.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(same))
+        known = labels.select(F.col("label").alias("u"), F.col("id").alias("v"))
+        labels = components(known.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(same))
     named = classes.select("digest", F.col("id").alias("class_id")).join(labels.select(F.col("id").alias("class_id"), "label"), "class_id", "left").select("digest", F.coalesce("label", "class_id").alias("label"))
     out = signed.select("id", "n", F.when(F.expr("n > 0 and id is not null"), F.col("digest")).alias("digest")).join(named, "digest", "left")
     component = F.coalesce("label", "id")

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bytewords, chat, langid, matrix, neardup, ordered, packing, pieces, queries, secrets, spotsigs, tokencount, tokens, topk
+from loomgraph.llm import bytewords, chat, common, langid, matrix, neardup, ordered, packing, pieces, queries, secrets, spotsigs, tokencount, tokens, topk
 
 BPE = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
 WORD = queries.tokenizer("word_bpe_49k.json")
@@ -188,10 +188,30 @@ def test_hamming_guarantee():
         assert set(x.tolist()) & set(y.tolist())
 
 
-def test_components_chain(spark):
-    n = 200
-    got = {r["id"]: r["label"] for r in neardup.components(spark.createDataFrame([(i, i + 1) for i in range(n)] + [(900, 901)], "u long, v long")).collect()}
-    assert all(got.get(i, i) == 0 for i in range(n + 1)) and got[901] == 900
+def test_components(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(neardup, "saved", lambda df, tag: written.append(tag) or common.saved(df, tag))
+    rng, n = random.Random(5), 400
+    shaken = rng.sample(range(10_000, 20_000), n)
+    falling, star = range(9_000, 9_000 - n, -1), [(30_000 + i, 30_000) for i in range(1, 50)]
+    edges = [(a, b) for chain in (range(n), shaken, falling) for a, b in zip(chain[:-1], chain[1:], strict=True)] + star + [(7, 7), (1, 0), (0, 1)]
+    edges += [(rng.randrange(40_000, 40_150), rng.randrange(40_000, 40_150)) for _ in range(120)]
+    rng.shuffle(edges)
+    want = {x: x for e in edges for x in e}
+
+    def root(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for a, b in edges:
+        lo, hi = sorted((root(a), root(b)))
+        want[hi] = lo
+    rows = neardup.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    got = {r["id"]: r["label"] for r in rows}
+    assert len(got) == len(rows) and all(got.get(x, x) == root(x) for x in want) and got.keys() <= want.keys()
+    assert len(written) <= 14  # chains of 400 in rounds that grow with the logarithm
+    assert neardup.components(spark.createDataFrame([], "u long, v long")).isEmpty()
 
 
 def test_token_counts(spark, tmp_path):
