@@ -214,16 +214,19 @@ def near_duplicates(
 
     label = labels.select(F.col("id"), "label")
     tagged = members.select("key", "id", "n").join(label, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("part"))
-    open_keys = tagged.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+    # The part with the most members of a key has no links to look for inside it: only the others
+    # meet all of the key's members.
+    parts = tagged.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
+    open_keys = parts.groupBy("key").agg(F.max(F.struct("size", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", F.col("most.part").alias("most"))
     sketches = _sketched(full)
-    rest = saved(tagged.join(open_keys, "key", "left_semi").join(sketches, "id"), "rest")
-    x = rest.select("key", *[F.col(c).alias(f"x_{c}") for c in rest.columns if c != "key"])
+    rest = saved(tagged.join(open_keys, "key").withColumn("main", F.expr("part = most")).drop("most").join(sketches, "id"), "rest")
+    x = rest.filter(~F.col("main")).select("key", *[F.col(c).alias(f"x_{c}") for c in rest.columns if c != "key"])
     y = rest.select("key", *[F.col(c).alias(f"y_{c}") for c in rest.columns if c != "key"])
     apart = " + ".join(f"bit_count(x_k{j} ^ y_k{j})" for j in range(SKETCH_LONGS))
     # The sets of a link differ in (100 - percent) / (100 + percent) of their sizes' sum at most.
-    near = f"x_id < y_id and x_part <> y_part and {100 + percent} * ({apart}) <= {100 - percent} * (x_n + y_n)"
+    near = f"(y_main or x_id < y_id) and x_part <> y_part and {100 + percent} * ({apart}) <= {100 - percent} * (x_n + y_n)"
     pairs = x.join(y, (x["key"] == y["key"]) & F.expr(near) & fits("x_n", "y_n"))
-    pairs = saved(pairs.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    pairs = saved(pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     more = saved(_confirm(pairs, full, percent), "more")
     # An id whose rows have different sets holds their classes together.
     ids = in_classes.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo < hi").select("id")

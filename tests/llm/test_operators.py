@@ -178,6 +178,27 @@ def test_near_duplicates_brute(spark):
     assert neardup.near_duplicates(empty(spark)).isEmpty()
 
 
+def test_links_beside_the_largest_part(spark, monkeypatch):
+    """Links that no star finds, in keys with one large part and some others, are found still."""
+    held = {}
+
+    def keep(df, tag):
+        held[tag] = common.saved(df, tag)
+        return held[tag]
+
+    monkeypatch.setattr(neardup, "saved", keep)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    edited = lambda words, n, tag: [f"{tag}{i}" if i in at else w for at in [set(rng.sample(range(len(words)), n))] for i, w in enumerate(words)]
+    near = [" ".join(edited(base, 1, f"n{k}x")) for k in range(40)]
+    aside = edited(base, 6, "side")
+    texts = [" ".join(edited(base, 5, "first"))] + near + [" ".join(edited(aside, k % 3, f"s{k}x")) for k in range(12)] + [" ".join(edited(base, 4, f"m{k}x")) for k in range(12)]
+    rng.shuffle(texts)
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == slow_components(texts)
+    assert held["rest"].filter("main").count() > 0 and held["more"].count() > 0
+
+
 def test_hamming_guarantee():
     rng = np.random.default_rng(2)
     for _ in range(50):
