@@ -23,7 +23,7 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words of a sensitive context, in lower case.
 CONTEXT = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "client_key", "auth", "bearer", "credential", "signature", "session_id", "akia"]
 _CONTEXT = re.compile("|".join(CONTEXT))
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Names that are usual in code and configuration.
 IDENTIFIERS = """
 access_key accessKey account address algorithm api_key apiKey application arguments array assert async attribute authorization auth_token backup base64 bearer boolean buffer
@@ -37,7 +37,8 @@ return role root route sample schema secret secret_key security select self serv
 system table target temporary test_token thread timeout timestamp token transaction type undefined unknown update upload url user user_id username utf-8 validate value variable version volume webhook
 aaaaaaaaaaaaaaaa xxxxxxxxxxxxxxxx 0000000000000000 1234567890123456 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789abcdef your_api_key_here changeme
 """
-WINDOW, NEAR, NOVELTY = 256, 48, 0.62
+#: A candidate has SHORTEST characters or more.
+WINDOW, NEAR, SHORTEST, NOVELTY = 256, 48, 16, 0.62
 
 
 class Novelty:
@@ -74,16 +75,25 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], threshold: float =
     low = text.lower()
     if len(low) != len(text):  # a letter whose lower case has two code points
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+    base = sorted(base)
     out: list[tuple[int, int, str]] = []
-    done = 0
+    done = at_base = reach = 0
     for word in _CONTEXT.finditer(low):
-        at = max(done, word.end())
-        for m in _CANDIDATE.finditer(text, at, len(text)):
-            if m.start() > word.end() + NEAR:
-                break
+        at, limit = max(done, word.end()), word.end() + NEAR
+        # Runs of any length: the search ends at the first one beyond the limit, so that a long
+        # text takes linear time.
+        for m in _RUN.finditer(text, at) if at <= limit else ():
             a, b = m.span()
+            if a > limit:
+                break
+            if b - a < SHORTEST:
+                continue
             done = b
-            if any(a < e and s < b for s, e, _ in base):
+            # Candidates come in order: ``reach`` is where the base spans that start before b end.
+            while at_base < len(base) and base[at_base][0] < b:
+                reach = max(reach, base[at_base][1])
+                at_base += 1
+            if reach > a:
                 continue
             value = m.group()
             # Letters of one case and no digit are words, however strange.

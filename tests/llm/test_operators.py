@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -462,6 +463,42 @@ def test_novelty():
     assert secrets.redacted(text, secrets.spans_of(text)[1]) == "x [SECRET] y [SECRET] z"
 
 
+def slow_novel(text, base):
+    out, done = [], 0
+    for word in re.finditer("|".join(secrets.CONTEXT), text.lower()):
+        for m in re.compile(r"[A-Za-z0-9+/_=-]{16,}").finditer(text, max(done, word.end())):
+            if m.start() > word.end() + secrets.NEAR:
+                break
+            done, value, around = m.end(), m.group(), secrets.WINDOW
+            plain = not re.search("[0-9]", value) and (value.islower() or value.isupper() or value.istitle())
+            if plain or any(m.start() < e and s < m.end() for s, e, _ in base):
+                continue
+            if secrets.Novelty().ratio(text[max(0, m.start() - around) : m.start()], value, text[m.end() : m.end() + around]) >= secrets.NOVELTY:
+                out.append((m.start(), m.end(), "novel"))
+    return out
+
+
+def test_novelty_brute():
+    rng = random.Random(14)
+    key = lambda: "".join(rng.choices("abcdefXYZ0123456789+/", k=rng.randrange(8, 40)))
+    found = 0
+    for _ in range(300):
+        text = "".join(rng.choice(["auth ", "token", "secret=", "bearer ", " ", "\n" * 30, "wort ", "AKIA", "é", key(), key() + " "]) for _ in range(rng.randrange(40)))
+        base = secrets.base_spans(text)
+        want = slow_novel(text, base)
+        assert secrets.novel_spans(text, base) == want
+        found += len(want)
+    assert found > 50
+
+
+def test_novelty_is_linear():
+    """A text of many context words without candidates, then one with many base spans."""
+    start = time.monotonic()
+    assert secrets.spans_of("auth, " * 300_000) == ([], [])
+    assert len(secrets.spans_of("token=abcdefgh1, auth 0123456789abcdef0123456789abcdef\n" * 20_000)[1]) == 40_000
+    assert time.monotonic() - start < 60
+
+
 def test_word_hashes():
     texts = ["a b", "", "b a ", "A\tB", LONG, " é É "]
     raw = [t.encode() for t in texts]
