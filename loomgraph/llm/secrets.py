@@ -2,13 +2,21 @@
 
 The novelty method looks at unbroken strings near words of a sensitive context. It compresses the
 text around a candidate without and with it, primed by a dictionary of identifiers and by that
-surrounding text; the marginal bytes per character tell how new the string is. Names, words and
-repeated values cost little, random keys nearly their entropy.
+surrounding text; the marginal bytes, as a share of what a random string of the same length and
+alphabet costs, tell whether the string repeats known text. zstandard stores short literals raw,
+so that share can't tell a new name from a key. It is multiplied by the bits of the string under
+letter pairs of usual words, as a share of the bits of its alphabet. Names, words and repeated
+values stay low, random keys of any alphabet come to 1 or more.
 """
 
 from __future__ import annotations
 
+import math
+import random
 import re
+import string
+from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -20,8 +28,12 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
-#: Words of a sensitive context, in lower case.
-CONTEXT = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "client_key", "auth", "bearer", "credential", "signature", "session_id", "akia"]
+#: Words of a sensitive context, patterns in lower case. 'author', 'tokenize',
+#: 'secretary' and 'Slovakia' are other words; a key follows 'akia' without a border.
+_START, _END = r"(?<![^\W\d_])", r"s?(?![^\W\d_])"
+CONTEXT = [f"{w}{_END}" for w in ("password", "passwd", "secret", "token", "api_?key", "access_key", "private_key", "client_key", "credential", "session_id")]
+CONTEXT += [f"{_START}{w}{_END}" for w in ("pwd", "o?auth2?", "authori[sz]ation", "authentication", "bearer", "signature")]
+CONTEXT += [f"{_START}akia"]
 _CONTEXT = re.compile("|".join(CONTEXT))
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Names that are usual in code and configuration.
@@ -37,22 +49,134 @@ return role root route sample schema secret secret_key security select self serv
 system table target temporary test_token thread timeout timestamp token transaction type undefined unknown update upload url user user_id username utf-8 validate value variable version volume webhook
 aaaaaaaaaaaaaaaa xxxxxxxxxxxxxxxx 0000000000000000 1234567890123456 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789abcdef your_api_key_here changeme
 """
+#: Words whose letters are usual, of names, paths and prose in four languages.
+WORDS = """
+about academy action active actor adapter after again agent agenda always american analysis android animal annual answer apache article artist asset association author authors available avenue
+balance bank beacon because before begin better between binary block board book bottom branch bridge browser builder business button calendar camera canvas capital career catalog center central
+chain change channel chapter character chart check child children church city civil claim clean click clock close cloud code collection college color com common community company compare complete
+component computer concept condition conference consumer context control convert core corporation count country course court create creator culture currency current custom customer data date day
+deep default define department design detail develop development device dialog different dimension dom direct discovery display doi driver duration dynamic early earth east economy edge edition editor
+education effect electric element empire energy engine english entity entry equal estate european even event every evidence exchange execute factory family fast feature federal festival fetch
+field final finance find first flight float flow folder font football force foreign forest forward foundation fragment frame framework free french friend front full future gallery game garden
+gateway general geography german global gold google government graph great green ground group growth guide handle health height help high history holder home hospital hotel house human image
+impact income index industry inside institute insurance international internet into island issue item java javascript job join journal jump just justice knowledge label language large last
+later launch law layer layout leader league learning left legal level light line link linux list literature little loader local lock long loop machine machines magazine main make manage
+manufacturing map mark market master match material math matrix mayor measure media medical meeting member memory menu merge method microsoft middle military mine minister mobile mode model modern
+modules money monitor month more morning mount move movie multi museum music name nation national natural nature never new news next night normal north northern note notification number observer ocean
+office official online open operator order organization origin other output over owner pack page pair panel paper parent park parser part partner party pattern people performance period
+person phone photo physical pipeline plan planet platform play player plugin point police policy political pool popular position post power practice prepare present president press price
+print private problem process product professor program project proof provide public pull push quality quarter query queue quick race radio random range rate reader ready real record red reduce
+region relation remote render report republic request research reset resolve rest return review right river road rock roman root round route row rule runtime safe sample save scale scanner
+schedule school science scope score screen script scroll search season second section sector select senate sender series session share sheet shop short show side signal simple single site size
+social society software soldier solution some song sort sound source south space spark special speed sport spring stack stage standard star start state station step still stock stop story
+strategy stream street strong student studio study style subject success summer support surface symbol system table task teacher team technology template term text than that their them theory
+there these thing this thread three through time title today together tool total tower town track trade train transaction transfer transition transport travel tree trigger trust turn type under
+union unit united university update user utility valid value vector version vertical video view village virtual visible vision voice wall want water weather week welcome west what when where
+which while white widget width wild window winter with without woman wood word work worker world wrapper write year yellow young zero zone
+aber abschnitt abteilung alle anfang arbeit auch aufgabe beispiel bereich bericht bild bundes bürger datei daten deutsch einstellung entwicklung ergebnis fehler forschung frage führung ganze gebiet
+gemeinde gericht geschichte gesellschaft gesetz grenze haupt hoch jahr kirche konfiguration kraft krieg kunde land leben leitung mensch möglich nachricht neue nicht recht reich richtung schule
+schlüssel schrift seite sicherheit sprache staat stadt straße stunde teil über unter verbindung verein verfahren verwaltung volk werk wert wirtschaft wissenschaft wort zeichen zeit zugang zusammen
+accueil adresse affaire ancien année aussi autre avant bonjour chaque chemin chose compte comme connexion dans depuis développement donnée école enfant ensemble entre entreprise état être exemple
+femme fichier fonction grand groupe guerre heure histoire homme jour jeune langue lettre lieu livre maison mairie message milieu monde montagne nombre notre nouveau ouvrage partie pays petit place
+plusieurs pour premier prix projet quatre quelque question recherche réseau rue sans service siècle société sous suite sujet temps toujours travail trois utilisateur valeur ville voyage
+ahora algunos ambiente amigo antes archivo ayuda bajo bueno cada calle camino campo casa ciudad clave clase como conocimiento contraseña cuando cuenta cuerpo cultura derecho desarrollo desde día
+dinero donde empresa entonces equipo escuela español estado fecha forma fuente gobierno gente guerra hacia hasta historia hombre iglesia lengua libro lugar madre manera mayor mejor mientras mismo
+muchos mujer mundo nombre noche nuevo número palabra parte película persona pequeño poder pueblo puerta punto quien reino respuesta semana sistema sobre tiempo tierra todo trabajo usuario varios vida
+aes ajax api arm aws bean bin cdn cli cpu css csv dao dns dto exe ftp gcc gif git gnu gpu gui guid hmac html http https ibm impl io ip iso jar jpeg jpg js json jwt lib log md nio npm oauth org os pdf png
+py rfc rsa sdk sha sql src ssl svg sys tcp tls tmp udp ui uri usr utf util utils uuid var www x xml yaml zip
+"""
 #: A candidate has SHORTEST characters or more.
-WINDOW, NEAR, SHORTEST, NOVELTY = 256, 48, 16, 0.62
+WINDOW, NEAR, SHORTEST, NOVELTY = 256, 48, 16, 1.0
+#: Humps, words in capitals, numbers and single signs.
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|.", re.DOTALL)
+_SIGNS = "+/_=-"
+
+
+class Words:
+    """Bits of a string as words, numbers and signs, against those of its alphabet."""
+
+    #: Bits to say what kind of piece comes next, of a sign, and of a number that
+    #: stands alone.
+    KIND, SIGN, NUMBER = 2.3, 1.0, 8.0
+
+    def __init__(self, words: str):
+        plain = str.maketrans("áéíóúñçèêàâôûîëïäöüß", "aeiounceeaaouieiaous")
+        self.known = set(re.findall("[a-z]{2,}", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", words).translate(plain).lower()))
+        self.known -= {w for w in self.known if len(set(w)) == 1 or w in string.ascii_lowercase}
+        pairs = Counter(w[i : i + 2] for w in (f"^{k}$" for k in sorted(self.known)) for i in range(len(w) - 1))
+        letters = Counter(p[1] for p in pairs.elements())
+        first = Counter(p[0] for p in pairs.elements())
+        total = letters.total() + 27
+        even = {c: (letters[c] + 1) / total for c in string.ascii_lowercase + "$"}
+        # A pair that never came has a share of its second letter's frequency.
+        self.bits = {a + c: -math.log2((pairs[a + c] + 8 * even[c]) / (first[a] + 8)) for a in string.ascii_lowercase + "^" for c in even}
+        self.word = math.log2(len(self.known))
+
+    def cost(self, piece: str) -> float:
+        w = f"^{piece.lower()}$"
+        spelt = sum(self.bits[w[i : i + 2]] for i in range(len(w) - 1))
+        return min(spelt, self.word) if piece.lower() in self.known else spelt
+
+    @staticmethod
+    def alphabet(value: str) -> str:
+        body = [c for c in value if c not in _SIGNS]
+        low, high, digit = (any(f(c) for c in body) for f in (str.islower, str.isupper, str.isdigit))
+        if digit and low != high and set(map(str.lower, body)) <= set("0123456789abcdef"):
+            return "0123456789abcdef" if low else "0123456789ABCDEF"
+        return string.ascii_lowercase * low + string.ascii_uppercase * high + string.digits * digit
+
+    def share(self, value: str) -> float:
+        """1 or more for a random string, less for names, words and dates."""
+        value = value.strip(_SIGNS)
+        alphabet = self.alphabet(value)
+        if not alphabet:
+            return 0.0
+        pieces = _PIECE.findall(value)
+        bits = 0.0
+        for i, p in enumerate(pieces):
+            if p in _SIGNS:
+                bits += self.SIGN
+            elif p.isdigit():
+                n = self.KIND + len(p) * math.log2(10)
+                # Years, versions and counts: up to four digits between signs or at the border.
+                alone = len(pieces) > 1 and (i == 0 or pieces[i - 1] in _SIGNS) and (i == len(pieces) - 1 or pieces[i + 1] in _SIGNS)
+                bits += min(n, self.NUMBER) if alone and len(p) <= 4 else n
+            else:
+                bits += self.KIND + self.cost(p)
+        return bits / (sum(c not in _SIGNS for c in value) * math.log2(len(alphabet)))
+
+
+@lru_cache(1)
+def _words() -> Words:
+    return Words(IDENTIFIERS + WORDS)
+
+
+@lru_cache(1 << 12)
+def _random_like(length: int, alphabet: str) -> bytes:
+    return "".join(random.Random(length).choices(alphabet, k=length)).encode()
 
 
 class Novelty:
-    """Marginal compressed bytes per character of a candidate."""
+    """Marginal compressed bytes of a candidate as a share of a random string's of its length and
+    alphabet, times its share of its alphabet's bits."""
 
     def __init__(self, level: int = 19):
         self.level = level
         self.dictionary = " ".join(IDENTIFIERS.split()).encode()
+        self.words = _words()
 
     def ratio(self, before: str, candidate: str, after: str) -> float:
+        share = self.words.share(candidate)
+        if share < NOVELTY:  # the other factor is 1 at most
+            return share
+        # A fifth less than the random string's cost is still chance: short matches in the dictionary.
         around = zstandard.ZstdCompressionDict(self.dictionary + b" " + (before + " " + after).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         press = zstandard.ZstdCompressor(level=self.level, dict_data=around, write_content_size=False, write_checksum=False, write_dict_id=False)
         # The same frame without the candidate is the cost of the frame itself.
-        return max(0, len(press.compress(candidate.encode())) - len(press.compress(b""))) / len(candidate)
+        empty = len(press.compress(b""))
+        full = len(press.compress(_random_like(len(candidate), self.words.alphabet(candidate)))) - empty
+        # However odd its letters, a string whose text is known is not new.
+        return min(1.25, share) * min(1.0, max(0, len(press.compress(candidate.encode())) - empty) / max(1, 0.8 * full))
 
 
 _novelty = Novelty()

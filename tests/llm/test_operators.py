@@ -463,6 +463,24 @@ def test_novelty():
     assert secrets.redacted(text, secrets.spans_of(text)[1]) == "x [SECRET] y [SECRET] z"
 
 
+def test_novelty_measure():
+    """Clean names and paths stay, keys of any alphabet go, at every length."""
+    found = lambda t: [t[a:b] for a, b, k in secrets.spans_of(t)[1] if k == "novel"]
+    names = ["InternationalBusinessMachines", "BeaconChainStateTransition", "2021/journal/article", "src/main/java/com/example/FooBarServiceImpl", "HTTPSConnectionPoolManager", "x86_64-linux-gnu-gcc-13", "aaaaaaaaaaaaaaaa1"]
+    for name in names:
+        for word in ("The author of", "signature of", "the authors, doi", "the token"):
+            assert found(f"{word} {name} and more") == [], name
+    rng = random.Random(19)
+    for alphabet in ("0123456789abcdef", "0123456789ABCDEF", "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+        keys = ["".join(rng.choices(alphabet, k=n)) for n in (16, 20, 24, 30, 40, 64) for _ in range(10)]
+        hits = [secrets.base_spans(k) != [] or found(f"client_key -> {k} here") == [k] for k in keys]
+        assert sum(hits) >= 58, alphabet
+    key = "q8Zr1LxV0tPw7YbN3kHs5DfG"
+    assert found(f"auth {key}") == [key]
+    for word in ("author", "authority", "tokenize", "secretary", "Slovakia"):
+        assert found(f"{word} {key}") == []
+
+
 def slow_novel(text, base):
     out, done = [], 0
     for word in re.finditer("|".join(secrets.CONTEXT), text.lower()):
