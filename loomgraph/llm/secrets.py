@@ -15,6 +15,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from functools import lru_cache
 
@@ -31,10 +32,13 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words of a sensitive context, patterns in lower case. 'author', 'tokenize',
 #: 'secretary' and 'Slovakia' are other words; a key follows 'akia' without a border.
 _START, _END = r"(?<![^\W\d_])", r"s?(?![^\W\d_])"
-CONTEXT = [f"{w}{_END}" for w in ("password", "passwd", "secret", "token", "api_?key", "access_key", "private_key", "client_key", "credential", "session_id")]
-CONTEXT += [f"{_START}{w}{_END}" for w in ("pwd", "o?auth2?", "authori[sz]ation", "authentication", "bearer", "signature")]
-CONTEXT += [f"{_START}akia"]
+_JOIN = r"[_\-\x20]?"
+_COMPOUND = [f"{w}{_JOIN}key" for w in ("api", "access", "account", "auth", "client", "encryption", "master", "private", "secret", "service", "session", "shared", "signing", "ssh", "storage")] + [f"session{_JOIN}id", f"pass{_JOIN}phrase"]
+_LONG, _SHORT = ["password", "passwd", "secret", "token", "credential", *_COMPOUND], ["pwd", "o?auth2?", "authori[sz]ation", "authentication", "bearer", "signature"]
+CONTEXT = [f"{w}{_END}" for w in _LONG] + [f"{_START}{w}{_END}" for w in _SHORT] + [f"{_START}akia"]
 _CONTEXT = re.compile("|".join(CONTEXT))
+#: The same words as humps of a camelCase name: authHeader, myAuth, tokenValue.
+_HUMP = re.compile(rf"(?:{_START}|(?<=[a-z])(?=[A-Z]))(?i:{'|'.join(_LONG + _SHORT)})s?(?:(?![^\W\d_])|(?<=[a-z])(?=[A-Z]))")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Names that are usual in code and configuration.
 IDENTIFIERS = """
@@ -87,6 +91,12 @@ py rfc rsa sdk sha sql src ssl svg sys tcp tls tmp udp ui uri usr utf util utils
 """
 #: A candidate has SHORTEST characters or more.
 WINDOW, NEAR, SHORTEST, NOVELTY = 256, 48, 16, 1.0
+_LONG_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+#: Between the lines of a block: quotes, a line break (or its escape), an indent or comment sign.
+_GAP = re.compile(r"""["'+,;]*+(?:[^\S\n]*+["'+,;\\]*+[^\S\n]*+\n[\s"'+>#*|]*+|\\(?=n))""")
+_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+_FINISH = re.compile(r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY")
+_BODY = re.compile(r"""[A-Za-z0-9+/=\s\\"',:;.()<>@#*|-]*""")
 #: Humps, words in capitals, numbers and single signs.
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|.", re.DOTALL)
 _SIGNS = "+/_=-"
@@ -228,9 +238,115 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], threshold: float =
     return out
 
 
+def _is_new(text: str, a: int, b: int) -> bool:
+    value = text[a:b]
+    if not any(c.isdigit() for c in value) and (value.islower() or value.isupper() or value.istitle()):
+        return False
+    return _novelty.ratio(text[max(0, a - WINDOW) : a], value, text[b : b + WINDOW]) >= NOVELTY
+
+
+def beside_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """What :func:`novel_spans` doesn't look at: strings that end within NEAR characters before a
+    context word, and those near a word in a camelCase name; outside the spans ``taken``."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+    words = sorted({m.span() for m in _CONTEXT.finditer(low)} | {m.span() for m in _HUMP.finditer(text)})
+    if not words:
+        return []
+    taken, out = sorted(taken), []
+    starts, ends = [a for a, _ in words], sorted(b for _, b in words)
+    at = reach = 0
+    for m in _LONG_RUN.finditer(text):
+        # The words inside a run part it.
+        inside = words[bisect_left(starts, m.start()) : bisect_left(starts, m.end())]
+        a = m.start()
+        for x, y in [*inside, (m.end(), m.end())]:
+            lo, b, a = a, x, max(a, y)
+            if b - lo < SHORTEST:
+                continue
+            while at < len(taken) and taken[at][0] < b:
+                reach = max(reach, taken[at][1])
+                at += 1
+            after, before = bisect_left(starts, b), bisect_right(ends, lo) - 1
+            near = after < len(starts) and starts[after] <= b + NEAR or before >= 0 and ends[before] >= lo - NEAR
+            if near and reach <= lo and _is_new(text, lo, b):
+                out.append((lo, b, "novel"))
+    return out
+
+
+def private_blocks(text: str) -> list[tuple[int, int, str]]:
+    """The bodies of private keys between their BEGIN and END lines."""
+    heads = list(_BEGIN.finditer(text))
+    tails = [m.start() for m in _FINISH.finditer(text)] if heads else []
+    out = []
+    nexts = [*[h.start() for h in heads[1:]], len(text)]
+    for m, following in zip(heads, nexts, strict=False):
+        i = bisect_left(tails, m.end())
+        if i == len(tails) or tails[i] > following:
+            continue  # a block without an end: its lines are found as adjoining runs
+        body = _BODY.fullmatch(text, m.end(), tails[i])
+        if body and any(_is_new(text, *r.span()) for r in _LONG_RUN.finditer(text, m.end(), tails[i])):
+            a, b = m.end(), tails[i]
+            while text[a].isspace():
+                a += 1
+            while text[b - 1].isspace():
+                b -= 1
+            out.append((a, b, "novel"))
+    return out
+
+
+def whole_blocks(text: str, seeds: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Spans of the new strings on the lines that adjoin a seed's, with the seed if it is novel."""
+    runs = [m.span() for m in _RUN.finditer(text) if m.end() - m.start() >= 4]
+    begins, out = [a for a, _ in runs], []
+
+    def same(i: int, j: int, k: int) -> bool:
+        """Whether run ``k`` goes on with the block of the runs i to j, next to it."""
+        a, b = runs[k]
+        if b - a >= SHORTEST:
+            return _is_new(text, a, b)
+        # A block's last line is shorter than the one before it.
+        return k > j and runs[j][1] - runs[j][0] >= 2 * SHORTEST and (text[b - 1] == "=" or _novelty.words.share(text[a:b]) >= NOVELTY)
+
+    last = -1
+    for a, b, kind in sorted(seeds):
+        i = j = bisect_right(begins, b - 1) - 1
+        if j < 0 or j < last:
+            continue
+        while j + 1 < len(runs) and _GAP.fullmatch(text, max(b, runs[j][1]), runs[j + 1][0]) and same(i, j, j + 1):
+            j += 1
+            b = runs[j][1]
+        begin = bisect_right(begins, a) - 1
+        while kind == "novel" and begin == i and i - 1 > last and _GAP.fullmatch(text, runs[i - 1][1], a) and same(i, j, i - 1):
+            i = begin = i - 1
+            a = runs[i][0]
+        first = a if kind == "novel" else runs[i + 1][0] if j > i else b
+        if first < b:
+            out.append((first, b, "novel"))
+        last = j
+    return out
+
+
+def _joined(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    out: list[tuple[int, int, str]] = []
+    for a, b, kind in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]), kind)
+        else:
+            out.append((a, b, kind))
+    return out
+
+
 def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     base = sorted(base_spans(text), key=lambda x: (x[0], KINDS.index(x[2])))
-    every = sorted(base + novel_spans(text, base), key=lambda x: (x[0], KINDS.index(x[2])))
+    novel = novel_spans(text, base)
+    novel += beside_spans(text, base + novel)
+    seeds = novel + [s for s in base if s[2] == "assign"]
+    if seeds:
+        novel += whole_blocks(text, seeds)
+    novel = _joined(novel + private_blocks(text))
+    every = sorted(base + novel, key=lambda x: (x[0], KINDS.index(x[2])))
     return base, every
 
 
