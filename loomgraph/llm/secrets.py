@@ -31,14 +31,19 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 #: Words of a sensitive context, patterns in lower case. 'author', 'tokenize',
 #: 'secretary' and 'Slovakia' are other words; a key follows 'akia' without a border.
-_START, _END = r"(?<![^\W\d_])", r"s?(?![^\W\d_])"
+_END = r"s?(?![^\W\d_])"
 _JOIN = r"[_\-\x20]?"
 _COMPOUND = [f"{w}{_JOIN}key" for w in ("api", "access", "account", "auth", "client", "encryption", "master", "private", "secret", "service", "session", "shared", "signing", "ssh", "storage")] + [f"session{_JOIN}id", f"pass{_JOIN}phrase"]
-_LONG, _SHORT = ["password", "passwd", "secret", "token", "credential", *_COMPOUND], ["pwd", "o?auth2?", "authori[sz]ation", "authentication", "bearer", "signature"]
-CONTEXT = [f"{w}{_END}" for w in _LONG] + [f"{_START}{w}{_END}" for w in _SHORT] + [f"{_START}akia"]
+_LONG = ["password", "passwd", "secret", "token", "credential", *_COMPOUND]
+_SHORT = ["pwd", "auth2", "auth", "oauth2", "oauth", "authorization", "authorisation", "authentication", "bearer", "signature"]
+# The left border stands after the word, so that each pattern begins with a letter: the search is
+# ten times faster.
+CONTEXT = [f"{w}{_END}" for w in _LONG] + [f"{w}(?<![^\\W\\d_]{w}){_END}" for w in _SHORT] + [r"akia(?<![^\W\d_]akia)"]
 _CONTEXT = re.compile("|".join(CONTEXT))
 #: The same words as humps of a camelCase name: authHeader, myAuth, tokenValue.
-_HUMP = re.compile(rf"(?:{_START}|(?<=[a-z])(?=[A-Z]))(?i:{'|'.join(_LONG + _SHORT)})s?(?:(?![^\W\d_])|(?<=[a-z])(?=[A-Z]))")
+_ANY = re.compile("|".join(sorted(_LONG + _SHORT, key=len, reverse=True)))
+#: Every context word has one of these.
+_STEMS = ("passw", "secret", "token", "credential", "key", "session", "phrase", "pwd", "auth", "bearer", "signature", "akia")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Names that are usual in code and configuration.
 IDENTIFIERS = """
@@ -203,12 +208,29 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], threshold: float = NOVELTY) -> list[tuple[int, int, str]]:
-    """Spans of incompressible strings within NEAR characters after a context word, outside the
-    base spans."""
+def _lowered(text: str) -> str:
+    """``text`` in lower case, of the same length; empty if it has no context word."""
     low = text.lower()
+    if not any(stem in low for stem in _STEMS):
+        return ""
     if len(low) != len(text):  # a letter whose lower case has two code points
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+    return low
+
+
+def _humps(text: str, low: str):
+    for m in _ANY.finditer(low):
+        a, b = m.span()
+        b += text[b : b + 1] == "s"
+        left = not text[a - 1 : a].isalpha() or text[a - 1].islower() and text[a].isupper()
+        if left and (not text[b : b + 1].isalpha() or text[b].isupper() and text[b - 1].islower()):
+            yield a, b
+
+
+def novel_spans(text: str, base: list[tuple[int, int, str]], threshold: float = NOVELTY) -> list[tuple[int, int, str]]:
+    """Spans of incompressible strings within NEAR characters after a context word, outside the
+    base spans."""
+    low = _lowered(text)
     base = sorted(base)
     out: list[tuple[int, int, str]] = []
     done = at_base = reach = 0
@@ -248,10 +270,8 @@ def _is_new(text: str, a: int, b: int) -> bool:
 def beside_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """What :func:`novel_spans` doesn't look at: strings that end within NEAR characters before a
     context word, and those near a word in a camelCase name; outside the spans ``taken``."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
-    words = sorted({m.span() for m in _CONTEXT.finditer(low)} | {m.span() for m in _HUMP.finditer(text)})
+    low = _lowered(text)
+    words = sorted({m.span() for m in _CONTEXT.finditer(low)} | set(_humps(text, low)))
     if not words:
         return []
     taken, out = sorted(taken), []
@@ -277,11 +297,12 @@ def beside_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int
 
 def private_blocks(text: str) -> list[tuple[int, int, str]]:
     """The bodies of private keys between their BEGIN and END lines."""
-    heads = list(_BEGIN.finditer(text))
-    tails = [m.start() for m in _FINISH.finditer(text)] if heads else []
+    heads = list(_BEGIN.finditer(text)) if "-----BEGIN " in text else []
+    if not heads:
+        return []
+    tails = [m.start() for m in _FINISH.finditer(text)]
     out = []
-    nexts = [*[h.start() for h in heads[1:]], len(text)]
-    for m, following in zip(heads, nexts, strict=False):
+    for m, following in zip(heads, [*[h.start() for h in heads[1:]], len(text)], strict=True):
         i = bisect_left(tails, m.end())
         if i == len(tails) or tails[i] > following:
             continue  # a block without an end: its lines are found as adjoining runs
