@@ -15,8 +15,12 @@ from loomgraph.llm.queries import packed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter (null and empty ones too) go; a missing lang is filled in."""
+    """Documents without any letter (null and empty ones too) go; a missing lang is filled in, as
+    ``und`` if no document has a label to learn from."""
     model = langid.train(docs)
+    if not model.languages:
+        # Every text is und then: what has a letter stays. \p{L} is what str.isalpha means.
+        return docs.filter(F.col("text").rlike(r"\p{L}")).withColumn("lang", F.coalesce("lang", F.lit(langid.UND))).select(*docs.columns)
     out = langid.identify(docs, model, keep=tuple(docs.columns), spans=False).filter(F.col("lang_pred") != langid.UND)
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

@@ -26,3 +26,12 @@ def test_stages(spark):
         load[r["sequence_id"]] += r["length"]
     assert max(load.values()) <= 4096 and len(load) == -(-sum(load.values()) // 4096)
     assert stages["language_id"](spark, docs.filter("false"), SF).isEmpty()
+
+
+def test_language_id_without_labels(spark):
+    """Without any label the documents with letters stay; those without go."""
+    rows = [(1, "some words", None, "s", 10), (2, "123 456", None, "s", 7), (3, None, None, "s", None), (4, "", None, "s", 0), (5, "1 \u6f22 2", None, "s", 5), (None, "\u00e9", None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.language_id(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert {(r["doc_id"], r["lang"]) for r in got.collect()} == {(1, "und"), (5, "und"), (None, "und")}
