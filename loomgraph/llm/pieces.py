@@ -5,6 +5,14 @@ aren't cached are encoded together: words of equal length advance position by po
 hashes of the substrings that end there probe the sorted hashes of the pieces, and a vectorised
 maximum over the candidates stores the backpointers.
 
+A long word (a script without spaces, one letter again and again) is first cut wherever two
+characters meet that stand side by side in no piece. What is still long goes, for a BPE model, in
+windows of equal length that advance together. A window begins WARM characters early, as if the
+text began there. The last piece of a prefix follows from those of the ``longest`` prefixes before
+it, so where as many in a row agree with the window before, all that follow agree; a window that
+doesn't is done again from where the one before it ended. Unigram models have no such test: there
+a long word that can't be cut advances alone.
+
 A unigram model maximises the sum of piece scores. For a BPE model that sum would give other
 pieces than merging does, so there a candidate's score says whether the step is one that merging
 could take: the piece before and this piece must not merge across their border. Each prefix then
@@ -30,6 +38,9 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 CACHE_WORDS, CACHE_ODD = 700_000, 50_000
+#: Code points: words beyond CUT are cut at sure borders, what is beyond LONG goes in windows of
+#: STEP + WARM, WINDOWS at a time, and a window that disagrees is done again MEND by MEND.
+CUT, LONG, STEP, WARM, WINDOWS, MEND = 48, 512, 512, 128, 2048, 64
 _SPACE_ONLY = np.arange(256) == 0x20
 _B = U(0x9E3779B97F4A7C15)
 _models: dict[str, PieceModel] = {}
@@ -116,6 +127,11 @@ class PieceModel:
         ids = np.array(list(self.normal.values()), np.int64)
         hashes = np.array([int(self._hash(np.array([[ord(c) for c in p]]))[0]) for p in self.normal], U) if self.normal else np.zeros(0, U)
         self.by_hash = Lookup(hashes, ids)
+        inner = {ord(a) << 21 | ord(b) for p in self.normal for a, b in pairwise(p)}
+        self.inner = np.array(sorted(inner), np.int64)
+        # Neighbours without a piece of their own are one unknown piece in a unigram model.
+        self.alone = np.array(sorted(ord(p) for p in self.normal if len(p) == 1), np.int64)
+        self.warm = max(WARM, 2 * self.longest)
         if self.kind == BPE:
             self._merge_tables()
         self.cache, self.odd = WordIds(CACHE_WORDS), Generations(CACHE_ODD)
@@ -186,13 +202,18 @@ class PieceModel:
             x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
         return ok
 
-    def _apart_cached(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _apart_distinct(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`apart`, worked out once for each distinct pair."""
         n = len(self.pieces) + 1
         key, back = np.unique((a + 1) * n + b + 1, return_inverse=True)
         return self.apart(key // n - 1, key % n - 1)[back]
 
-    def _viterbi(self, points: np.ndarray) -> list[bytes]:
-        """Ids of words of one length."""
+    def _forward(self, points: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Size and number (-1: none) of the last piece of every prefix, positions by words. With
+        ``before``, the numbers at the ``longest`` positions before the words (the latest last),
+        ``points`` begins with the code points of those positions; sizes and numbers are those
+        after them."""
+        given = 0 if before is None else self.longest
         w, n = points.shape
         prefix = np.zeros((n + 1, w), U)
         for j in range(n):
@@ -201,9 +222,11 @@ class PieceModel:
         back = np.zeros((n + 1, w), np.int32)
         last = np.full((n + 1, w), -1, np.int64)
         best = np.zeros((n + 1, w))
-        for j in range(1, n + 1):
+        if given:
+            last[1 : given + 1] = before
+        for j in range(given + 1, n + 1):
             best[j] = -np.inf
-            for size in range(1, min(j, self.longest) + 1):
+            for size in range(1, min(j - bool(given), self.longest) + 1):
                 piece = self.by_hash.get(prefix[j] - prefix[j - size] * power[size])
                 if size == 1:
                     use = np.arange(w)
@@ -214,7 +237,7 @@ class PieceModel:
                 piece = piece[use]
                 if self.kind == BPE:
                     good = (piece < 0) | self.reachable[piece]
-                    good[good] = self._apart_cached(last[j - size, use[good]], piece[good])
+                    good[good] = self._apart_distinct(last[j - size, use[good]], piece[good])
                     good &= best[j - size, use] == 0
                     value = np.where(good, 0.0, -np.inf)
                 else:
@@ -222,9 +245,53 @@ class PieceModel:
                 better = value > best[j, use]
                 to = use[better]
                 best[j, to], back[j, to], last[j, to] = value[better], size, piece[better]
+        return back[given:], last[given:]
+
+    def _long(self, points: np.ndarray) -> bytes:
+        """Ids of one long word of a BPE model, by windows."""
+        n, warm, span = len(points), self.warm, self.longest
+        back, last = np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int64)
+        done = 0  # the sizes and numbers of all prefixes up to here are known
+        again: dict[tuple[bytes, bytes], tuple[np.ndarray, np.ndarray]] = {}
+        while done < n:
+            # The first window is the text's own begin, or begins early like the others.
+            first = max(0, done - warm)
+            count = min(WINDOWS, max(1, -(-(n - first - warm) // STEP)))
+            at = first + STEP * np.arange(count)[:, None] + np.arange(STEP + warm)[None, :]
+            b, x = self._forward(np.where(at < n, points[np.minimum(at, n - 1)], 0))
+            for k in range(count):
+                lo = first + k * STEP
+                hi = min(n, lo + STEP + warm)
+                at = lo + warm if lo else 0
+                while at and at < hi and not np.array_equal(x[at - lo - span + 1 : at - lo + 1, k], last[at - span + 1 : at + 1]):
+                    to = min(at + MEND, hi)
+                    here, state = points[at - span : to], last[at - span + 1 : at + 1]
+                    key = (here.tobytes(), state.tobytes())
+                    if key not in again:
+                        if len(again) > 1 << 14:
+                            again.clear()
+                        got = self._forward(here[None, :], state[:, None])
+                        again[key] = got[0][1:, 0], got[1][1:, 0]
+                    back[at + 1 : to + 1], last[at + 1 : to + 1] = again[key]
+                    at = to
+                back[at + 1 : hi + 1], last[at + 1 : hi + 1] = b[at - lo + 1 : hi - lo + 1, k], x[at - lo + 1 : hi - lo + 1, k]
+                done = hi
+        ends, at, sizes = [], n, back.tolist()
+        while at:
+            ends.append(at)
+            at -= sizes[at]
+        ends = np.array(ends[::-1])
+        ids = np.where(last[ends] >= 0, last[ends], -1 - points[ends - 1].astype(np.int64))
+        return np.array(self._spell(ids.tolist()) if (ids < 0).any() else ids, "<u4").tobytes()
+
+    def _viterbi(self, points: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """Ids of words of ``sizes`` characters, filled up to one length: what a prefix is cut
+        into doesn't depend on what follows."""
+        w = len(points)
+        back, last = self._forward(points)
         # All words step back together; what step s finds is the s-th piece from the end.
         word, place, ids = [], [], []
-        at, rows, step = np.full(w, n), np.arange(w), 0
+        at, rows, step = sizes.copy(), np.arange(w), 0
         while rows.size:
             here = at[rows]
             piece = last[here, rows]
@@ -254,18 +321,38 @@ class PieceModel:
                 out.append(self.unk)
         return out
 
+    def _parts(self, word: str) -> list[str]:
+        """``word`` cut where no piece and no run of unknown characters goes on."""
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = points[:-1] << 21 | points[1:]
+        joined = np.isin(pair, self.inner)
+        if self.kind == UNIGRAM:
+            odd = ~np.isin(points, self.alone)
+            joined |= odd[:-1] & odd[1:]
+        cuts = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in pairwise(cuts)]
+
     def words(self, words: list[str]) -> dict[str, bytes]:
-        by: dict[int, list[str]] = {}
+        cut = {x: self._parts(x) for x in words if len(x) > CUT}
+        by: dict[int, set[str]] = {}
         for x in words:
-            by.setdefault(len(x), []).append(x)
+            for p in cut.get(x, (x,)):
+                n = len(p)
+                # Beyond 24 characters lengths are filled up to a multiple of 8 or 64.
+                by.setdefault(n if n <= 24 or n > LONG else -(-n // 8) * 8 if n <= 128 else -(-n // 64) * 64, set()).add(p)
         out = {}
         for n, group in by.items():
+            group = list(group)
+            if n > LONG and self.kind == BPE:
+                for x in group:
+                    out[x] = self._long(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32))
+                continue
             step = max(1, min(10_000, 1_000_000 // (n + 1)))
             for lo in range(0, len(group), step):
                 part = group[lo : lo + step]
-                points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
-                out.update(zip(part, self._viterbi(points), strict=True))
-        return out
+                points = np.frombuffer("".join(x.ljust(n, "\0") for x in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), n)
+                out.update(zip(part, self._viterbi(points, np.array([len(x) for x in part])), strict=True))
+        return {x: b"".join([out[p] for p in cut[x]]) if x in cut else out[x] for x in words}
 
     def _spaced(self, texts: list[str]) -> list[bytes]:
         """Ids of texts with any spaces."""
