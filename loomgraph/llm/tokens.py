@@ -38,6 +38,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache, self.stems = WordIds(CACHE_WORDS), Generations(CACHE_STEMS)
+        self.parting: dict[str, bool] = {}
         self.marks = dict(zip(MARKS, self._words(list(MARKS)), strict=True)) | {"": b""}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -48,6 +49,14 @@ class WordEncoder:
     def _words(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _parts(self, letter: str) -> bool:
+        """Whether a mark after this letter is a word of its own. It isn't where the normaliser
+        ends the letter in a sign: a dotted capital I becomes i and a combining dot."""
+        if letter not in self.parting:
+            both = self._words([letter, *(letter + x for x in MARKS)])
+            self.parting[letter] = all(x == both[0] + self.marks[m] for x, m in zip(both[1:], MARKS, strict=True))
+        return self.parting[letter]
+
     def _letters(self, words: list[str]) -> list[bytes]:
         """Words of letters alone, encoded as one text; each is one word to the tokenizer too."""
         coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
@@ -68,7 +77,7 @@ class WordEncoder:
             w = w.decode("utf-8", "replace")
             mark = w[-1]
             stem, mark = (w[:-1], mark) if mark in MARKS else (w, "")
-            if stem.isalpha():
+            if stem.isalpha() and (not mark or stem[-1].isascii() or self._parts(stem[-1])):
                 if self.lowers and stem.isascii():
                     stem = stem.lower()
                 stems.add(stem)

@@ -1,7 +1,8 @@
 """A bounded cache from word hashes to token ids, probed and read for whole batches with numpy.
 
 Words are known by 64-bit hashes of their bytes; two of a million words share one with a
-probability of about 1e-7. When the cache is full it starts anew.
+probability of about 1e-7. When the cache has ``most`` words or 16 ids for each of them, it starts
+anew.
 """
 
 from __future__ import annotations
@@ -72,7 +73,7 @@ class WordIds:
         new = np.flatnonzero(entry < 0)
         if new.size:
             key, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-            if self.n + len(key) > self.most:
+            if self.n + len(key) > self.most or self.used > 16 * self.most:
                 self.clear()
                 key, first, back = np.unique(hashes, return_index=True, return_inverse=True)
                 new = np.arange(len(hashes))
