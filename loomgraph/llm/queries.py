@@ -45,9 +45,14 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
-    # Rows of one turn each: a record is one message, which the layout's mapping makes canonical.
-    records = rows.unionByName(extra).select("conv_id", "turn", F.array(F.struct("role", "text")).alias("messages"))
-    one = chat.turns_of_columns(records, ["messages"]).select("conv_id", "turn", F.inline("turns"))
+    # A row becomes a record of the layout that is usual for its role: a prompt, a response or a
+    # system field, or a list of one message. The layout's fingerprint selects the mapping back.
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    flat = {"system": "system", "user": "prompt", "assistant": "response"}
+    fields = [F.when(role == r, text).alias(name) for r, name in flat.items()]
+    other = F.when(~role.isin(*flat), F.array(F.struct(role.alias("role"), text.alias("content")))).alias("messages")
+    records = rows.unionByName(extra).select("conv_id", "turn", *fields, other)
+    one = chat.turns_of_columns(records, [*flat.values(), "messages"]).select("conv_id", "turn", F.inline("turns"))
     return chat.digest(chat.read_back(chat.format_rows(one, "conv_id", "turn", "role", "text")))
 
 
