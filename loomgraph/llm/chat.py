@@ -175,7 +175,7 @@ def _escape_role(role: Column) -> Column:
 def format_rows(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """``conv, formatted, spans`` of one row per turn. A null role or text is empty; rows of one
     turn number go by role, then text, as they are before any escape; rows that repeat are turns
-    of their own; rows of a null conversation are one conversation; null turn numbers come first.
+    of their own; rows of a null conversation are one conversation; null turn numbers come last.
     Spans: (start, end, loss) in code points of each turn's text in ``formatted``, loss for
     assistants. Other columns are ignored; an empty table gives an empty result.
     """
@@ -183,7 +183,7 @@ def format_rows(rows: DataFrame, conv: str, turn: str, role: str, text: str) ->
     part = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), plain(role).alias("raw_role"), plain(text).alias("raw_text"))
     part = part.select("*", _escape_role(F.col("raw_role")).alias("role"), escape(F.col("raw_text")).alias("text"))
     part = part.withColumn("head", F.concat(F.lit(HEAD), "role", F.lit("\n")))
-    order = Window.partitionBy("conv").orderBy("turn", "raw_role", "raw_text")
+    order = Window.partitionBy("conv").orderBy(F.asc_nulls_last("turn"), "raw_role", "raw_text")
     size = F.length("head") + F.length("text") + F.lit(len(TAIL))
     before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = part.withColumn("no", F.row_number().over(order)).withColumn("start", before + F.length("head"))
