@@ -7,7 +7,15 @@ import pyarrow as pa
 
 from ..session import saved, shared_dir
 
-__all__ = ["Generations", "saved", "shared_dir", "slices", "text_buffer"]
+__all__ = ["Generations", "fresh", "saved", "shared_dir", "slices", "text_buffer"]
+
+
+def fresh(columns, name: str) -> str:
+    """``name`` with as many underscores before it as it takes to be none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
