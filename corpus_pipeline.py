@@ -10,36 +10,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import langid, neardup, secrets
-from loomgraph.llm.common import saved
+from loomgraph.llm.common import fresh, saved
 from loomgraph.llm.queries import packed
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter (null and empty ones too) go; a missing lang is filled in, as
-    ``und`` if no document has a label to learn from."""
+    ``und`` if no document has a label to learn from. Each row is judged by itself, so null ids and
+    repeated rows stay as they are. All columns are kept, whatever their names; an empty table
+    gives an empty result."""
     model = langid.train(docs)
     if not model.languages:
         # Every text is und then: what has a letter stays. \p{L} is what str.isalpha means.
         return docs.filter(F.col("text").rlike(r"\p{L}")).withColumn("lang", F.coalesce("lang", F.lit(langid.UND))).select(*docs.columns)
-    out = langid.identify(docs, model, keep=tuple(docs.columns), spans=False).filter(F.col("lang_pred") != langid.UND)
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    label, score = (fresh(docs.columns, n) for n in ("label", "score"))
+    out = langid.identify(docs, model, keep=tuple(docs.columns), spans=False, names=(label, score, "spans")).filter(F.col(label) != langid.UND)
+    return out.withColumn("lang", F.coalesce("lang", label)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    gone = saved(neardup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "gone")
-    # A few MB of ids at most are broadcast; more are joined by a shuffle.
+    """One row of each group of near duplicates stays, the one with the smallest doc_id; null ids
+    come last, and of rows that repeat an id any one stays. Rows are known by a number of their
+    own, so repeated rows and null ids are documents like others. Null and empty texts are in no
+    group: they stay. All columns are kept; an empty table gives an empty result."""
+    row = fresh(docs.columns, "row")
+    # Written first: a number that is made anew could differ.
+    rows = saved(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = saved(neardup.near_duplicates(rows, id_col=row).select(F.col("doc_id").alias(row), "component_id"), "groups")
+    # Components of one row need no choice; the others' rows are few numbers each.
+    grouped = found.join(found.filter(F.col(row) != F.col("component_id")).select("component_id").distinct(), "component_id", "left_semi")
+    best = grouped.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("best"))
+    gone = saved(grouped.select(row).join(best.select(F.col(f"best.{row}").alias(row)), row, "left_anti"), "gone")
+    # A few MB of numbers at most are broadcast; more are joined by a shuffle.
     few = gone.count() <= neardup.BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret in a text becomes a mark, and n_chars follows."""
+    """Every secret in a text becomes a mark, and n_chars follows; no row goes. Null texts stay
+    null with null n_chars, empty ones empty; each row is read by itself, so null ids and repeated
+    rows stay as they are. All columns are kept; an empty table gives an empty result."""
     return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token runs of all documents in sequences of 4096."""
+    """Token runs of all documents in sequences of 4096. A null or empty text is an end mark alone;
+    null ids and repeated rows are packed like others; further columns are ignored; an empty table
+    gives an empty result."""
     return packed(docs)
 
 
