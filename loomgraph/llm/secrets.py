@@ -94,9 +94,10 @@ muchos mujer mundo nombre noche nuevo número palabra parte película persona pe
 aes ajax api arm aws bean bin cdn cli cpu css csv dao dns dto exe ftp gcc gif git gnu gpu gui guid hmac html http https ibm impl io ip iso jar jpeg jpg js json jwt lib log md nio npm oauth org os pdf png
 py rfc rsa sdk sha sql src ssl svg sys tcp tls tmp udp ui uri usr utf util utils uuid var www x xml yaml zip
 """
-#: A candidate has SHORTEST characters or more.
-WINDOW, NEAR, SHORTEST, NOVELTY = 256, 48, 16, 1.0
-_LONG_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+#: A candidate has SHORTEST characters or more, or SHORT with letters and digits. Letters of one
+#: case without a digit could be a word of any language, so they need the share ONE_CASE.
+WINDOW, NEAR, SHORTEST, SHORT, NOVELTY, ONE_CASE = 256, 48, 16, 10, 1.0, 1.4
+_LONG_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORT},}}")
 #: Between the lines of a block: quotes, a line break (or its escape), an indent or comment sign.
 _GAP = re.compile(r"""["'+,;]*+(?:[^\S\n]*+["'+,;\\]*+[^\S\n]*+\n[\s"'+>#*|]*+|\\(?=n))""")
 _BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
@@ -242,7 +243,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], threshold: float =
             a, b = m.span()
             if a > limit:
                 break
-            if b - a < SHORTEST:
+            if b - a < SHORT:
                 continue
             done = b
             # Candidates come in order: ``reach`` is where the base spans that start before b end.
@@ -251,20 +252,21 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], threshold: float =
                 at_base += 1
             if reach > a:
                 continue
-            value = m.group()
-            # Letters of one case and no digit are words, however strange.
-            if not any(c.isdigit() for c in value) and (value.islower() or value.isupper() or value.istitle()):
-                continue
-            if _novelty.ratio(text[max(0, a - WINDOW) : a], value, text[b : b + WINDOW]) >= threshold:
+            if _is_new(text, a, b, threshold):
                 out.append((a, b, "novel"))
     return out
 
 
-def _is_new(text: str, a: int, b: int) -> bool:
+def is_candidate(value: str) -> bool:
+    if len(value) < SHORTEST:
+        return len(value) >= SHORT and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    one_case = not any(c.isdigit() for c in value) and (value.islower() or value.isupper() or value.istitle())
+    return not one_case or _novelty.words.share(value) >= ONE_CASE
+
+
+def _is_new(text: str, a: int, b: int, threshold: float = NOVELTY) -> bool:
     value = text[a:b]
-    if not any(c.isdigit() for c in value) and (value.islower() or value.isupper() or value.istitle()):
-        return False
-    return _novelty.ratio(text[max(0, a - WINDOW) : a], value, text[b : b + WINDOW]) >= NOVELTY
+    return is_candidate(value) and _novelty.ratio(text[max(0, a - WINDOW) : a], value, text[b : b + WINDOW]) >= threshold
 
 
 def beside_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -283,7 +285,7 @@ def beside_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int
         a = m.start()
         for x, y in [*inside, (m.end(), m.end())]:
             lo, b, a = a, x, max(a, y)
-            if b - lo < SHORTEST:
+            if b - lo < SHORT:
                 continue
             while at < len(taken) and taken[at][0] < b:
                 reach = max(reach, taken[at][1])
@@ -384,7 +386,8 @@ def redacted(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, spans array<struct<kind, start, end>>``: one row for each row; code points, end
     exclusive, by start, then kind. A null text counts as empty and has none. Null ids and
-    repeated rows are kept; spans of different kinds may overlap; other columns are ignored."""
+    repeated rows are kept; spans of different kinds may overlap; other columns are ignored; an
+    empty table gives an empty result."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -399,7 +402,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with every span of its text replaced by a mark; all other columns stay."""
+    """``df`` with every span of its text replaced by a mark; all other columns stay, whatever
+    their names. A null text stays null, an empty one empty; each row is read by itself, so null
+    ids and repeated rows stay as they are; an empty table gives an empty result."""
     names, at = df.columns, df.columns.index(text_col)
 
     def run(batches):
