@@ -2,7 +2,7 @@
 
 A text's content digest and the tokenizer's version digest (of its file's bytes) are the key of a
 stored count. Only distinct digests without a stored count are encoded, and their counts are
-appended to the cache, a Parquet table that later runs share.
+appended to the cache, a Parquet table with a folder for each tokenizer, which later runs share.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import saved, shared_dir
 from .tokens import text_groups
 
-SCHEMA = "tokenizer string, digest binary, n_tokens long"
+SCHEMA = "digest binary, n_tokens long, tokenizer string"
 _loaded: dict[str, object] = {}
 
 
@@ -53,14 +53,14 @@ def content_digest(text: Column) -> Column:
 
 
 def _stored(spark, cache_path: str, tokenizer: str) -> DataFrame:
+    """``digest, n_tokens`` of one tokenizer: its folder of the cache alone is read."""
     try:
         cache = spark.read.schema(SCHEMA).parquet(cache_path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         cache = spark.createDataFrame([], SCHEMA)
-    # A run that was started twice may have stored a digest twice.
-    return cache.filter(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    return cache.filter(F.col("tokenizer") == tokenizer).select("digest", "n_tokens")
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
@@ -87,8 +87,9 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = No
     # Copies meet before the shuffle; each distinct text is moved and encoded once.
     misses = with_text.dropDuplicates(["digest"]).join(stored.select("digest"), "digest", "left_anti")
     fresh = misses.mapInArrow(encode, "digest binary, n_tokens long")
-    fresh.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
+    fresh.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     # Written first: then a join under a hot digest is dealt anew, which sums in its stage prevent.
-    counts = saved(_stored(spark, cache_path, tokenizer), "counts")
+    # A run that was started twice may have stored a digest twice.
+    counts = saved(_stored(spark, cache_path, tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     out = keyed.join(counts, "digest")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
