@@ -35,6 +35,7 @@ SLICE = 1 << 21
 SKETCH_LONGS = 32
 #: 8 bytes each: a broadcast of a few MB.
 BROADCAST_IDS = 250_000
+PART_PAIRS = 1024
 
 
 def signatures(sets: list[np.ndarray], functions: int, block: int = 1 << 15) -> np.ndarray:
@@ -150,9 +151,12 @@ def _confirm(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # A large family's hub stands in many pairs: its set goes to a part for each PART_PAIRS of them.
+    parts = saved(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART_PAIRS).cast("int").alias("parts")), "parts")
+    a = full.select(F.col("id").alias("a"), F.col("items").alias("items_a")).join(parts, "a").select("a", "items_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     b = full.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-    a = full.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
-    joined = pairs.join(b, "b").join(a, "a").select("a", "b", "items_a", "items_b")
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    joined = dealt.join(b, "b").join(a, ["a", "part"]).select("a", "b", "items_a", "items_b")
     return joined.mapInArrow(compare, "a long, b long")
 
 
