@@ -75,15 +75,20 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, of its edited text, and their likenesses. Null texts are empty.
+    Null ids come before all others, rows of one id in the order of their texts' hashes, and rows
+    that repeat follow each other; an only row follows itself."""
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = ordered.with_next(table(spark, sf_dir, "documents"), "doc_id", "text", partitions)
+    docs = table(spark, sf_dir, "documents")
+    anchors = spotsigs.anchors_of(docs)
+    rows = ordered.with_next(docs, "doc_id", "text", partitions)
     kinds = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
     schema = pa.schema(kinds)
 
     def prints(texts: list[str]) -> list[np.ndarray]:
         raw = [t.encode("utf-8", "replace") for t in texts]
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
-        return spotsigs.signatures(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        return spotsigs.signatures(np.frombuffer(b"".join(raw), np.uint8), offsets, anchors=anchors)
 
     def done(held: list[tuple]) -> pa.RecordBatch:
         """All rows but the last, which only follows."""

@@ -1,8 +1,8 @@
 """SpotSigs fingerprints.
 
 A signature is a chain: a common word (an anchor) and the next ``chain`` content words after it.
-So that texts without listed common words have spots too, every word whose hash falls in one of
-SAMPLED parts is an anchor as well, while it stays a content word.
+Common are the listed words of four languages and those that stand in a share of the corpus's
+documents, which are counted first.
 A document's fingerprint is the sorted set of its signatures' 32-bit hashes. Fingerprints are
 partitioned by their length, since a Jaccard similarity of t needs lengths within the factor t,
 and compared only where lengths and a shared rare signature allow it.
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from .bytewords import NOT_WORD, U, hash_word, hashed_words, mix
 from .common import saved, slices, text_buffer
 
-CHAIN, SAMPLED = 2, 8
+CHAIN = 2
+#: A common word stands in this share of the documents, and in FEWEST of them at least.
+COMMON, FEWEST = 0.05, 20
 #: Common words of English, German, French and Spanish.
 ANCHORS = """
 a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their there they this to was were which will with would you
@@ -31,6 +33,30 @@ al como con del el ella ellos entre era esta este fue ha hay las lo los más mi
 _ANCHOR_HASHES = np.sort(np.array(sorted({hash_word(w) for w in ANCHORS}), U))
 
 
+def anchors_of(df: DataFrame, text_col: str = "text", share: float = COMMON, fewest: int = FEWEST) -> np.ndarray:
+    """Hashes of the listed words and of all words that stand in ``share`` of the texts, ascending.
+    Texts that repeat count each time; null texts have no words. The driver gets the common words
+    alone: if a text has w different words on average, at most w / share of them."""
+
+    def count(batches):
+        for batch in batches:
+            buf, offsets = text_buffer(batch.column(0))
+            for lo, hi in slices(offsets, 1 << 21):
+                words, counts = hashed_words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], NOT_WORD)
+                doc = np.repeat(np.arange(hi - lo), counts)
+                order = np.lexsort((words, doc))
+                words, doc = words[order], doc[order]
+                once = np.ones(len(words), bool)
+                once[1:] = (words[1:] != words[:-1]) | (doc[1:] != doc[:-1])
+                word, n = np.unique(words[once], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    texts = df.select(F.col(text_col).cast("string").alias("text"))
+    least = max(fewest, share * texts.count())
+    found = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return np.union1d(_ANCHOR_HASHES, np.array([r["word"] for r in found.select("word").collect()], np.int64).view(U))
+
+
 def signatures(buf: np.ndarray, offsets: np.ndarray, chain: int = CHAIN, anchors: np.ndarray = _ANCHOR_HASHES) -> list[np.ndarray]:
     """For each text the sorted distinct signatures. A text with words but without a whole chain
     has one signature, of all its words; a text without words has one of its bytes, if any."""
@@ -39,7 +65,7 @@ def signatures(buf: np.ndarray, offsets: np.ndarray, chain: int = CHAIN, anchors
     is_anchor = anchors[at] == words
     content = np.flatnonzero(~is_anchor)
     before = np.cumsum(~is_anchor)
-    spots = np.flatnonzero(is_anchor | ((words >> U(40)) % U(SAMPLED) == 0))
+    spots = np.flatnonzero(is_anchor)
     nth = before[spots]  # the first content word after an anchor
     good = nth + chain <= len(content)
     spots, nth = spots[good], nth[good]
@@ -81,15 +107,17 @@ def text_form(fp: np.ndarray) -> str:
     return base64.b64encode(fp.astype("<u4").tobytes()).decode()
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN) -> DataFrame:
-    """``doc_id, fingerprint``: one row for each row. Null and empty texts have the empty
-    fingerprint; null ids and repeated rows are kept; other columns are ignored."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN, anchors: np.ndarray | None = None) -> DataFrame:
+    """``doc_id, fingerprint``: one row for each row, with the table's own common words or the
+    given ``anchors``. Null and empty texts have the empty fingerprint; null ids and repeated rows
+    are kept; other columns are ignored; an empty table gives an empty result."""
+    anchors = anchors_of(df, text_col) if anchors is None else anchors
 
     def run(batches):
         for batch in batches:
             buf, offsets = text_buffer(batch.column(1))
             for lo, hi in slices(offsets, 1 << 21):
-                found = signatures(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], chain)
+                found = signatures(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], chain, anchors)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(map(text_form, found), pa.string())], ["doc_id", "fingerprint"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
