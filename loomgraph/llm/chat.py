@@ -110,9 +110,10 @@ def _known(mappings: list[Mapping] | None) -> list[str]:
 def turns_of_columns(df: DataFrame, payload: list[str], mappings: list[Mapping] | None = None) -> DataFrame:
     """``df`` with ``layout`` and ``turns``, for records in columns. A row's layout is made of
     the ``payload`` columns that aren't null in it, so rows of several layouts may stand in one
-    table; fields that no mapping knows don't count. A row without a mapping, or with null in
-    all of ``payload``, has null turns, see :func:`unmapped`; an empty array is no turns. Raises
-    ``ValueError`` if no mapping knows any field. Input columns named layout or turns are
+    table; fields that no mapping knows don't count. Where that selects no mapping, the layout of
+    all ``payload`` columns does, with null as an empty text. A row without a mapping, or with
+    null in all of ``payload``, has null turns, see :func:`unmapped`; an empty array is no turns.
+    Raises ``ValueError`` if no mapping knows any field. Input columns named layout or turns are
     replaced, unless they are part of ``payload``; an empty table gives an empty result."""
     known = set(_known(mappings))
     present = {c: [p for p in field_paths(df.schema[c].dataType, c) if p in known] for c in payload}
@@ -121,7 +122,11 @@ def turns_of_columns(df: DataFrame, payload: list[str], mappings: list[Mapping]
     none = F.array().cast("array<string>")
     paths = F.flatten(F.array(*[F.when(F.col(c).isNotNull(), F.array(*map(F.lit, found))).otherwise(none) for c, found in present.items() if found]))
     missing = {p.partition("[]")[0] for p in known} - {c for c, found in present.items() if found}
-    layout, turns = _chosen(paths, mappings, lambda p, kind: F.lit(None).cast(kind) if p in missing else F.col(p).cast(kind), F.lit(None).cast(TURNS))
+    get = lambda p, kind: F.lit(None).cast(kind) if p in missing else F.col(p).cast(kind)
+    layout, turns = _chosen(paths, mappings, get, F.lit(None).cast(TURNS))
+    whole = registry(mappings).get(fingerprint([p for found in present.values() for p in found]))
+    if whole:
+        turns = turns.when(F.size(paths) > 0, _apply(whole, get))
     return df.select("*", layout.alias("_made_layout"), turns.alias("_made_turns")).drop("layout", "turns").withColumnsRenamed({"_made_layout": "layout", "_made_turns": "turns"})
 
 

@@ -92,10 +92,15 @@ def features(buf: np.ndarray, offsets: np.ndarray, bits: int = BUCKET_BITS) -> t
         script = script[np.maximum.accumulate(own)]
     folded = np.where(script >= 0, folded, 0).astype(np.uint8)
     letter = (script >= 0) & ((buf < 0x80) | (buf >= 0xC0)) & ~marks
-    wide = folded.astype(np.uint32)
-    code = wide * np.uint32(0x9E3779B1)
-    code[1:] += wide[:-1] * np.uint32(0x85EBCA6B)
-    code[2:] += np.where(folded[1:-1] == 0, 0, wide[:-2]) * np.uint32(0xC2B2AE35)
+    # The bytes before a text's first are another text's.
+    code, first = folded.astype(np.uint32), offsets[:-1]
+    one, two = np.zeros_like(code), np.zeros_like(code)
+    one[1:] = code[:-1]
+    two[2:] = np.where(folded[1:-1] == 0, 0, code[:-2])
+    one[first[first < len(code)]] = 0
+    for k in (0, 1):
+        two[first[first + k < len(code)] + k] = 0
+    code = code * np.uint32(0x9E3779B1) + one * np.uint32(0x85EBCA6B) + two * np.uint32(0xC2B2AE35)
     code ^= code >> np.uint32(15)
     code *= np.uint32(0x2C1B3C6D)
     return folded, code >> np.uint32(32 - bits), script, letter

@@ -31,7 +31,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, partitions: int) -> Dat
     found = base.agg(F.percentile_approx(low, cuts, 10_000).alias("q")).first()["q"] if cuts else None
     # Bounds are pairs: where several fall on one id, they part its rows evenly by hash.
     ids, times = np.unique(np.array(found or [], np.int64), return_counts=True)
-    bounds = [(int(i), -(1 << 63) + (k * (1 << 64)) // n) for i, n in zip(ids, times, strict=True) for k in range(n)]
+    bounds = [(i, -(1 << 63) + (k * (1 << 64)) // n) for i, n in zip(ids.tolist(), times.tolist(), strict=True) for k in range(n)]
     bound_id = np.array([i for i, _ in bounds], np.int64)
     bound_hash = np.array([h for _, h in bounds], np.int64)
 

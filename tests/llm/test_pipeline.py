@@ -3,6 +3,8 @@ from collections import defaultdict
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from loomgraph.llm import queries, tokens
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -35,3 +37,54 @@ def test_language_id_without_labels(spark):
     got = corpus_pipeline.language_id(spark, docs, SF)
     assert got.columns == docs.columns
     assert {(r["doc_id"], r["lang"]) for r in got.collect()} == {(1, "und"), (5, "und"), (None, "und")}
+
+
+def test_near_dedup_of_repeats(spark):
+    """Rows that repeat an id and rows without one are documents like others."""
+    text = "one two three four five six seven eight nine ten"
+    rows = [(5, text, "en", "s", 1)] * 3 + [(None, text, "en", "s", 1)] * 3 + [(3, text + " eleven", "en", "t", 2), (9, "", None, None, 0), (9, None, None, None, None), (None, "quite another text", None, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_row", F.lit("clash")).withColumn("component_id", F.lit(1))
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == [(False, 3, text + " eleven"), (False, 9, ""), (False, 9, ""), (True, 0, "quite another text")]
+    none = corpus_pipeline.near_dedup(spark, docs.filter("doc_id is null and n_chars = 1"), SF)
+    assert none.count() == 1
+
+
+def test_stages_on_hard_tables(spark):
+    """Empty tables, nulls in every column, clashing names and a long text."""
+    names = ["lang_pred", "score", "_label", "_row", "spans", "sequence_id", "item", "id", "text_", "grp"]
+    rows = [(None, None, None, None, None), (1, "", None, None, None), (1, "", None, None, None), (2, "word " * 50_000, "en", "s", 250_000), (3, "bearer q8Zr1LxV0tPw7YbN3kHs5DfG", None, "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for n in names:
+        docs = docs.withColumn(n, F.lit("x"))
+    for table in (docs, docs.filter("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, table, SF)
+            assert out.columns == docs.columns, name
+            assert (out.count() == 0) == (table.count() == 0), name
+        assert corpus_pipeline.packing(spark, table, SF).isEmpty() == table.isEmpty()
+    clean = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.secret_scan(spark, docs.filter("doc_id = 3"), SF).collect()}
+    assert clean == {3: ("bearer [SECRET]", 15)}
+
+
+def test_run(spark):
+    """The whole pipeline, against its stages' rules worked out apart."""
+    from loomgraph.llm import langid, neardup, secrets
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    lettered = {i for i, t in texts.items() if any(c.isalpha() for c in t)}
+    labels = langid.identify(docs, langid.train(docs)).collect()
+    assert {r["doc_id"] for r in labels if r["lang_pred"] != langid.UND} == lettered
+    kept = {r["doc_id"] for r in neardup.near_duplicates(docs.filter(F.col("doc_id").isin(sorted(lettered)))).filter("kept").collect()}
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"] for r in got} == kept
+    tokenizer = tokens.encoder(queries.tokenizer("word_bpe_49k.json")).tokenizer
+    length = defaultdict(int)
+    load = defaultdict(int)
+    for r in got:
+        length[r["doc_id"]] += r["length"]
+        load[r["sequence_id"]] += r["length"]
+    want = {i: len(tokenizer.encode(secrets.redacted(texts[i], secrets.spans_of(texts[i])[1]), add_special_tokens=False).ids) + 1 for i in kept}
+    assert length == want and len(load) == -(-sum(load.values()) // 4096)
