@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
 _shipped: set[str] = set()
+_scratch: dict[str, str] = {}
 
 
 def session(name: str = "loomgraph", **conf: str) -> SparkSession:
@@ -35,21 +38,57 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local master gets a
-    temporary folder and a cluster the warehouse, which all its machines share."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local master gets a temporary
+    folder; on a cluster that raises, as no folder is known that all its machines share."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     master = spark.sparkContext.master
     if master == "local" or master.startswith("local["):
         return _local.setdefault("dir", tempfile.mkdtemp(prefix="loomgraph-"))
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomgraph_shared"
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; :func:`release` removes it, at the latest
+    when this process ends."""
+    app = spark.sparkContext.applicationId
+    at = f"{shared_dir(spark)}/loomgraph/{app}"
+    if app not in _scratch:
+        _scratch[app] = at
+        atexit.register(_end, spark, app)
+    return at
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that :func:`saved` wrote in this application. Results that still read it are
+    lost."""
+    if at := _scratch.pop(spark.sparkContext.applicationId, None):
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _end(spark: SparkSession, app: str) -> None:
+    # The session may have ended, or been stopped, before the process.
+    with contextlib.suppress(Exception):
+        if spark.sparkContext.applicationId == app:
+            release(spark)
 
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: it cuts the lineage, and
     the loss of an executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
+    """As :func:`saved`, in as many buckets of ``key`` as a shuffle has partitions: joins and sums
+    by that key then need no exchange on this side."""
+    spark = df.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"loomgraph_{tag}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{scratch_dir(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
