@@ -10,8 +10,9 @@ too: with 12 chunks of five symbols and one allowed error, a pair at similarity
 key with probability 0.37 ** 12 = 6e-6.
 
 Documents with equal sets are one class from the start. A key's classes are first compared with
-the smallest of them (a star, never all pairs); the links that the full sets confirm give
-components. Then the pairs of a key that are still in different components are compared, less
+one of them, the hub (a star, never all pairs): the one whose keys have the most classes in all,
+which is the text that the others of a family were made from, if it is there. The links that the
+full sets confirm give components. Then the pairs of a key that are still in different components are compared, less
 those whose parity sketches rule a link out: a sketch has a bit for each of 2048 hash values, the
 parity of the set's shingles there, so two sketches never differ in more bits than the sets do in
 shingles. A pair inside one component needs no look, since it can't change the result. Neither
@@ -208,10 +209,13 @@ def near_duplicates(
 
     fits = lambda x, y: F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
     keys = _keys(classes, functions, chunks, width, errors)
-    hubs = saved(keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).filter("hub.id < last").select("key", F.col("hub.id").alias("a"), F.col("hub.n").alias("n_a")), "hubs")
-    members = saved(keys.join(hubs, "key").filter("id <> a"), "members")
+    sizes = saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+    shared = saved(keys.join(sizes, "key"), "shared")
+    central = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    hubs = shared.join(central, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("less"), "n")).alias("hub"))
+    members = saved(shared.join(hubs.select("key", (-F.col("hub.less")).alias("a"), F.col("hub.n").alias("n_a")), "key").filter("id <> a").select("key", "id", "n", "a", "n_a"), "members")
     stars = saved(members.filter(fits("n", "n_a")).select("a", F.col("id").alias("b")).distinct(), "stars")
-    wanted = saved(members.select("id").union(hubs.select(F.col("a").alias("id"))).distinct(), "wanted")
+    wanted = saved(shared.select("id").distinct(), "wanted")
     full = _full_sets(wanted, texts, shingle_words)
     links = saved(_confirm(stars, full, percent), "links")
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
