@@ -1,13 +1,13 @@
-"""``python -m loomgraph.cli pagerank|sssp|upload|download|delete|report ...``"""
+"""``python -m loomgraph.cli pagerank|sssp|upload|download|delete|vacuum|report ...``"""
 
 from __future__ import annotations
 
 import argparse
-from pathlib import Path
+import time
 
 from .operators import pagerank as pr
 from .operators import sssp as sp
-from .operators.dedup_store import DedupStore
+from .operators.dedup_store import DedupStore, report_lines
 from .session import session, ship
 from .sources import edges as src
 
@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("min", "avg", "max", "base"):
         a.add_argument(name, type=int)
     a.add_argument("path")
-    a.add_argument("store")
+    a.add_argument("store", help="a folder of any file system that Spark can write")
     a = sub.add_parser("download")
     a.add_argument("path")
     a.add_argument("target")
@@ -38,13 +38,14 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("delete")
     a.add_argument("path")
     a.add_argument("store")
-    a = sub.add_parser("report")
-    a.add_argument("store")
+    for name in ("vacuum", "report"):
+        sub.add_parser(name).add_argument("store")
     return p
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
+    began = time.perf_counter()
     spark = session()
     ship(spark)
     if args.command == "pagerank":
@@ -57,13 +58,20 @@ def main(argv: list[str] | None = None) -> None:
     else:
         store = DedupStore(spark, args.store)
         if args.command == "upload":
-            store.upload(src.binary_files(spark, args.path), args.min, args.avg, args.max, args.base).show(truncate=False)
-        elif args.command == "download":
-            Path(args.target).write_bytes(store.download(args.path).first()["content"] or b"")
+            told = store.upload(src.binary_files(spark, args.path), args.min, args.avg, args.max, args.base)
         elif args.command == "delete":
-            store.delete(args.path).show(truncate=False)
+            told = store.delete(args.path)
         else:
-            store.report().show(truncate=False)
+            told = None
+            if args.command == "download":
+                store.fetch(args.path, args.target)
+            elif args.command == "vacuum":
+                store.vacuum()
+            else:
+                told = store.report()
+        if told is not None:
+            print("\n".join(report_lines(told)))
+    print(f"seconds: {time.perf_counter() - began:.2f}")
 
 
 if __name__ == "__main__":

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import bucketed
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -56,18 +56,21 @@ def adjust(got: DataFrame, alpha: float, n: int, mass: float) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, alpha: float, iterations: int) -> DataFrame:
-    """``id, rank`` after ``iterations`` rounds; none gives 1 / N. A round is one shuffle of the
-    contributions; its result is written once, and the driver gets one number."""
+    """``id, rank`` after ``iterations`` rounds; none gives 1 / N.
+
+    Links lie in buckets of their source, nodes and what they received in buckets of their id. A
+    round joins them where they lie and shuffles nothing but the contributions, summed on the
+    sender's side first; its result is written once, and the driver gets one number."""
     if not 0 <= alpha <= 1 or iterations < 0:
         raise ValueError("alpha must be in [0, 1] and iterations not negative")
     edges = edges.select("src", "dst").filter("src is not null and dst is not null")
-    every = saved(nodes(edges), "nodes")
+    every = bucketed(nodes(edges), "nodes", "id")
     n = every.count()
     ranks = every.withColumn("rank", F.lit(1.0 / n if n else 0.0))
     if not n or not iterations:
         return ranks
-    shares = saved(link_counts(edges), "shares")
+    shares = bucketed(link_counts(edges), "shares", "src")
     for _ in range(iterations):
-        got = saved(received(every, push(ranks, shares)), "received")
+        got = bucketed(received(every, push(ranks, shares)), "received", "id")
         ranks = adjust(got, alpha, n, missing_mass(got))
     return ranks

@@ -3,6 +3,9 @@
 Only nodes that improved in the last round send; a strict improvement can't come from another, so
 distances and predecessors are those of full rounds. On equal distances within a round the smaller
 predecessor wins; an old one stays unless the distance falls.
+
+Links lie in buckets of their source and the state in buckets of its node, so a round joins them
+where they lie and shuffles the offers alone; it writes the reached nodes once.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import saved
+from ..session import bucketed
 
 STATE = "id long, dist long, prev long, round int"
 
@@ -29,7 +32,7 @@ def search(edges: DataFrame, source: int, iterations: int = 0, weighted: bool =
     spark = edges.sparkSession
     w = F.col("w") if weighted else F.lit(1).cast("long")
     # Of parallel edges the least weight decides.
-    links = saved(edges.filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.min(w).alias("w")), "links")
+    links = bucketed(edges.filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.min(w).alias("w")), "links", "src")
     if weighted and not links.filter("w < 0").isEmpty():
         raise ValueError("weights must not be negative")
     senders = links.select(F.col("src").alias("id"), F.lit(True).alias("sends")).distinct()
@@ -42,7 +45,7 @@ def search(edges: DataFrame, source: int, iterations: int = 0, weighted: bool =
         old = state.select("id", F.col("dist").alias("old"), F.col("prev").alias("old_prev"), "round")
         better = F.col("best").isNotNull() & (F.col("old").isNull() | (F.col("best.dist") < F.col("old")))
         both = old.join(best, "id", "full").select("id", F.when(better, F.col("best.dist")).otherwise(F.col("old")).alias("dist"), F.when(better, F.col("best.prev")).otherwise(F.col("old_prev")).alias("prev"), F.when(better, F.lit(k)).otherwise(F.col("round")).alias("round"), (better & F.col("old").isNull()).alias("new"))
-        step = saved(both, "state")
+        step = bucketed(both, "state", "id")
         seen = step.filter(F.col("round") == k).join(senders, "id", "left").agg(F.count("*").alias("improved"), F.count_if("new").alias("reached"), F.count_if(F.col("new") & F.coalesce("sends", F.lit(False))).alias("senders")).first()
         counts.append({"round": k, "improved": seen["improved"], "reached": seen["reached"]})
         state = step.select("id", "dist", "prev", "round")

@@ -12,7 +12,7 @@ from ..operators import chunking
 from ..operators import dedup_store as ds
 from ..operators import pagerank as pr
 from ..operators import sssp as sp
-from ..session import saved, shared_dir
+from ..session import saved, scratch_dir
 from ..sources import edges as src
 from ..verify import differences
 
@@ -61,7 +61,7 @@ def _round_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _store(s: SparkSession) -> ds.DedupStore:
-    return ds.DedupStore(s, f"{shared_dir(s)}/loomgraph/store-{uuid.uuid4().hex}")
+    return ds.DedupStore(s, f"{scratch_dir(s)}/store-{uuid.uuid4().hex}")
 
 
 def _uploaded(s: SparkSession, d: str) -> ds.DedupStore:
@@ -85,6 +85,19 @@ def _deleted(s: SparkSession, d: str) -> DataFrame:
     return store.delete(DELETED).select("files", "logical_chunks", "unique_chunks", "logical_bytes", "unique_bytes")
 
 
+def _vacuumed(s: SparkSession, d: str) -> DataFrame:
+    """Half of the files after the other half was deleted and the store vacuumed: their bytes, read
+    from containers of which none has less than half of its bytes alive."""
+    files = src.document_files(s, d)
+    store = _store(s)
+    odd = F.col("path").cast("long") % 2 == 1
+    store.upload(files.filter(odd).withColumn("path", F.concat(F.lit("old-"), "path")), LEAST, AVG, MOST, BASE)
+    store.upload(files, LEAST, AVG, MOST, BASE)
+    store.delete_all(files.filter(odd).select(F.concat(F.lit("old-"), "path").alias("path")).unionByName(files.filter(odd).select("path")))
+    store.vacuum()
+    return store.download().select(F.col("path").cast("long").alias("doc_id"), F.sha2("content", 256).alias("sha256"))
+
+
 def _guard(s: SparkSession, d: str) -> DataFrame:
     """Which of the documents and their copies under new names an upload would refuse."""
     files = src.document_files(s, d).select("path")
@@ -102,7 +115,7 @@ def _golden(s: SparkSession, d: str) -> DataFrame:
 
 def _legacy_index(s: SparkSession, d: str) -> DataFrame:
     chunks, index = _layout(s, d)
-    return ds.read_index_text(ds.index_text(chunks, index)).select("hash", "container_id", "offset", "size")
+    return ds.read_index_text(ds.index_text(chunks, index).select("value")).select("hash", "container_id", "offset", "size")
 
 
 def _legacy_recipe(s: SparkSession, d: str) -> DataFrame:
@@ -152,6 +165,7 @@ def queries() -> dict[str, Query]:
         "download_roundtrip": _download,
         "download_ranged": _ranged,
         "delete_gc": _deleted,
+        "vacuum": _vacuumed,
         "upload_guard": _guard,
         "golden_diff": _golden,
     }
@@ -283,6 +297,7 @@ def oracle_sql() -> dict[str, str]:
         "download_roundtrip": texts,
         "download_ranged": texts,
         "delete_gc": _report(f"path <> '{DELETED}'"),
+        "vacuum": f"{texts} AND doc_id % 2 = 0",
         "upload_guard": "SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') <> '' AS refused FROM documents UNION ALL SELECT 'copy-' || doc_id, false FROM documents",
         "golden_diff": f"{_path_ctes(_DENSE, _ROUNDS)}, {hops}, x AS (SELECT {line} AS value FROM s{_ROUNDS}), y AS (SELECT {line} AS value FROM hs{_ROUNDS}) SELECT value, 'left' AS side FROM (SELECT value FROM x EXCEPT ALL SELECT value FROM y) UNION ALL SELECT value, 'right' FROM (SELECT value FROM y EXCEPT ALL SELECT value FROM x)",
     }

@@ -75,6 +75,44 @@ def test_store(spark, tmp_path):
     assert store.report().first()["containers"] == 1
     store.vacuum()
     assert bytes(store.download("a").first()["content"]) == F1
+    assert store.containers.count() == 1
+
+
+def test_two_uploads_at_once(spark, tmp_path):
+    """Both start from one version: the second one to commit fails and changes nothing."""
+    frame = lambda n: spark.createDataFrame([(n, bytearray(F1 + n.encode()))], "path string, content binary")
+    one, two = (ds.DedupStore(spark, str(tmp_path / "store")) for _ in range(2))
+    one.upload(frame("a"))
+    commit, report = two._commit, one.upload
+    two._commit = lambda *args, **more: (report(frame("b")), commit(*args, **more))
+    with pytest.raises(ds.Conflict):
+        two.upload(frame("c"))
+    del two._commit
+    assert sorted(r["path"] for r in two.recipe.collect()) == ["a", "b"]
+    two.upload(frame("c"))
+    for n in "abc":
+        assert bytes(one.download(n).first()["content"]) == F1 + n.encode()
+
+
+def test_checkpoints_and_compaction(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ds, "CHECKPOINTS", 3)
+    rng = random.Random(9)
+    files = {f"f{i}": bytes(rng.randrange(256) for _ in range(3000)) for i in range(4)}
+    store = ds.DedupStore(spark, str(tmp_path / "store"))
+    for n, raw in files.items():
+        store.upload(spark.createDataFrame([(n, bytearray(raw)), (f"{n}-too", bytearray(raw[:1000]))], "path string, content binary"), 64, 128, 256)
+    assert any(kind == "full" for _, kind in store._commits().values())
+    for n in files:
+        store.delete(n)  # the first third of each file stays, as its copy refers to it
+    held = store.containers.agg({"content": "count"}).first()[0]
+    before = sum(len(r["content"]) for r in store.containers.collect())
+    store.vacuum()
+    after = sum(len(r["content"]) for r in store.containers.collect())
+    live = store.index.agg({"size": "sum"}).first()[0]
+    assert held > 0 and after < before and after <= live / ds.COMPACT
+    for n, raw in files.items():
+        assert bytes(store.download(f"{n}-too").first()["content"]) == raw[:1000]
+    assert store.report().first()["logical_bytes"] == 4000
 
 
 def test_next_fit_opens_containers(spark):
@@ -99,3 +137,7 @@ def test_legacy_text(spark):
     assert [tuple(r) for r in ds.read_recipe_text(plain, numbered=False).collect()] == [("p", 1, "h1"), ("p", 2, "h2")]
     index = spark.createDataFrame([("3",), ("h1,0,0,5,2",)], "value string")
     assert [tuple(r) for r in ds.read_index_text(index).collect()] == [("h1", 0, 0, 5)]
+    rows = spark.createDataFrame([("h1", 0, 0, 5), ("h2", 1, 0, 7)], ds.INDEX)
+    assert [r["value"] for r in ds.index_text(recipe, rows).orderBy("id", "value").collect()] == ["2", "h1,0,0,5,2", "h2,1,0,7,1"]
+    ratio = spark.createDataFrame([(1, 2, 1, 30, 18, 1, 30 / 18)], "files long, logical_chunks long, unique_chunks long, logical_bytes long, unique_bytes long, containers long, ratio double")
+    assert ds.report_lines(ratio)[-1] == "ratio: 1.67"

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import pagerank as pr
 from loomgraph.operators import sssp as sp
@@ -70,3 +71,27 @@ def test_zero_cycle_and_parallel_edges(spark):
     es = [(0, 1, 0), (1, 0, 0), (1, 2, 3), (1, 2, 1), (2, 2, 0)]
     assert rows(sp.sssp(spark.createDataFrame(es, WEIGHTED), 0)) == [(0, 0, None), (1, 0, 0), (2, 1, 1)]
     assert dict(rows(pr.out_degree(spark.createDataFrame(es, WEIGHTED)))) == {0: 1, 1: 3, 2: 1}
+
+
+def test_a_round_shuffles_the_contributions_alone(spark):
+    """With broadcasts off: one exchange for a round of ranks."""
+    from loomgraph.session import bucketed
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g = spark.createDataFrame([(i, (i * 7 + 1) % 50, 1) for i in range(200)], WEIGHTED)
+        every = bucketed(pr.nodes(g), "nodes", "id")
+        shares = bucketed(pr.link_counts(g), "shares", "src")
+        step = pr.received(every, pr.push(every.withColumn("rank", F.lit(0.02)), shares))
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_many_rounds(spark):
+    """A long chain with a detour: more rounds than tables are kept apart."""
+    es = [(i, i + 1, 1) for i in range(14)] + [(0, 14, 50), (3, 9, 20), (14, 0, 1)]
+    got = {r["id"]: (r["dist"], r["prev"]) for r in sp.sssp(spark.createDataFrame(es, WEIGHTED), 0).collect()}
+    assert got == {0: (0, None)} | {i: (i, i - 1) for i in range(1, 15)}
