@@ -125,7 +125,7 @@ def search(tree: Tree, query_ids: np.ndarray, queries: np.ndarray, k: int, floor
 def vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """``id, dim, v``: each component x as floor(scale * x). Rows whose id or vector is null, or
     with a null or non-finite component, or without components, are left out, and so are vectors
-    whose squared length reaches 2**62 (the others' inner products fit 64 bits). Rows that repeat
+    whose scaled squared length reaches 2**61 (the others' inner products fit 64 bits). Rows that repeat
     an id are one, the smallest vector."""
     usable = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     ok = df.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).filter(usable)
