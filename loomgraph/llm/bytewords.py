@@ -62,13 +62,30 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray, separators: np.ndarray, block: i
         lo = hi
 
 
-def hashed_words(buf, offsets, separators=WHITE, block=BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order (A-Z as a-z), and each text's number of words."""
-    hashes, counts, _, _ = placed_words(buf, offsets, separators, LOWER, block)
+def unspaced(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the characters of scripts that are written without spaces: Thai, Lao,
+    Myanmar, Khmer, kana and Han, with the signs of their blocks. ``part`` holds whole characters."""
+    at = np.flatnonzero(part >= 0xE0)
+    if not at.size:
+        return at, at
+    lead, second = part[at], part[at + 1]
+    # The blocks' first and second bytes in UTF-8.
+    thai_lao = (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB)
+    myanmar_khmer = (lead == 0xE1) & ((second <= 0x81) | (second == 0x9E) | (second == 0x9F))
+    east_asian = ((lead == 0xE2) & (second >= 0xBA)) | ((lead >= 0xE3) & (lead <= 0xE9))
+    more_han = ((lead == 0xEF) & (second >= 0xA4) & (second <= 0xAB)) | ((lead == 0xF0) & (second >= 0xA0) & (second <= 0xB2))
+    found = at[thai_lao | myanmar_khmer | east_asian | more_han]
+    return found, found + 3 + (part[found] == 0xF0)
+
+
+def hashed_words(buf, offsets, separators=WHITE, block=BLOCK, single=False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order (A-Z as a-z), and each text's number of words.
+    With ``single``, a character of a script without spaces is a word."""
+    hashes, counts, _, _ = placed_words(buf, offsets, separators, LOWER, block, single)
     return hashes, counts
 
 
-def placed_words(buf, offsets, separators, fold, block=BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def placed_words(buf, offsets, separators, fold, block=BLOCK, single=False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words' hashes after ``fold``, the number of words of each text, and the words' places
     in ``buf``: starts and ends."""
     hashes, owners, firsts, lasts = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -79,6 +96,9 @@ def placed_words(buf, offsets, separators, fold, block=BLOCK) -> tuple[np.ndarra
         at = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, side="right")] - lo
         first[at] = True
         first[0] = first[-1] = True
+        if single:
+            for edge in unspaced(part):
+                first[edge] = True
         starts = np.flatnonzero(inside & (first[:-1] | ~np.concatenate(([False], inside[:-1]))))
         if not starts.size:
             continue

@@ -1,8 +1,8 @@
 """SpotSigs fingerprints.
 
 A signature is a chain: a common word (an anchor) and the next ``chain`` content words after it.
-Common are the listed words of four languages and those that stand in a share of the corpus's
-documents, which are counted first.
+Common are the listed words of four languages, listed characters of three more, and those that stand in a share of the corpus's
+documents, which are counted first. In scripts without spaces each character is a word.
 A document's fingerprint is the sorted set of its signatures' 32-bit hashes. Fingerprints are
 partitioned by their length, since a Jaccard similarity of t needs lengths within the factor t,
 and compared only where lengths and a shared rare signature allow it.
@@ -30,6 +30,8 @@ als am auf aus bei das dem den der des die ein eine einem einen einer es für ic
 au aux avec ce cette dans de du elle en est et il ils je la le les leur mais ne nous on ou par pas pour plus qui que sa se ses son sont sur un une vous
 al como con del el ella ellos entre era esta este fue ha hay las lo los más mi muy no nos para pero por porque sin sobre su sus también una uno y ya
 """.split()
+#: Common characters of Chinese, Japanese and Thai, which are words here.
+ANCHORS += "的 一 是 不 了 在 有 和 也 の は を に が で と も า น ร อ".split()
 _ANCHOR_HASHES = np.sort(np.array(sorted({hash_word(w) for w in ANCHORS}), U))
 
 
@@ -42,7 +44,7 @@ def anchors_of(df: DataFrame, text_col: str = "text", share: float = COMMON, few
         for batch in batches:
             buf, offsets = text_buffer(batch.column(0))
             for lo, hi in slices(offsets, 1 << 21):
-                words, counts = hashed_words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], NOT_WORD)
+                words, counts = hashed_words(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], NOT_WORD, single=True)
                 doc = np.repeat(np.arange(hi - lo), counts)
                 order = np.lexsort((words, doc))
                 words, doc = words[order], doc[order]
@@ -60,7 +62,7 @@ def anchors_of(df: DataFrame, text_col: str = "text", share: float = COMMON, few
 def signatures(buf: np.ndarray, offsets: np.ndarray, chain: int = CHAIN, anchors: np.ndarray = _ANCHOR_HASHES) -> list[np.ndarray]:
     """For each text the sorted distinct signatures. A text with words but without a whole chain
     has one signature, of all its words; a text without words has one of its bytes, if any."""
-    words, counts = hashed_words(buf, offsets, NOT_WORD)
+    words, counts = hashed_words(buf, offsets, NOT_WORD, single=True)
     at = np.minimum(np.searchsorted(anchors, words), len(anchors) - 1)
     is_anchor = anchors[at] == words
     content = np.flatnonzero(~is_anchor)

@@ -442,10 +442,16 @@ def segmentations(text, table):
             yield from ([text[:k], *rest] for rest in segmentations(text[k:], table))
 
 
+UNSPACED = "\u0e00-\u0eff\u1000-\u107f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U00032fff"
+
+
+def spot_words(text):
+    words = re.findall(rf"[{UNSPACED}]|(?:(?![{UNSPACED}])[0-9a-zA-Z\x80-\U0010ffff])+", text or "")
+    return [re.sub("[A-Z]", lambda m: m.group().lower(), w) for w in words]
+
+
 def slow_spots(text, anchors=frozenset(spotsigs.ANCHORS)):
-    words = re.findall(rb"[0-9a-zA-Z\x80-\xff]+", (text or "").encode())
-    words = [re.sub(rb"[A-Z]", lambda m: m.group().lower(), w) for w in words]
-    anchors = {a.encode() for a in anchors}
+    words = spot_words(text)
     out, follow = set(), ()
     for w in reversed(words):
         if w not in anchors:
@@ -464,14 +470,16 @@ def test_fingerprints(spark, tmp_path):
     """The registered query against brute force: texts, edited texts, anchors and likenesses."""
     rng = random.Random(41)
     texts = TEXTS + [" ".join(rng.choice([*VOCAB, *(f"w{rng.randrange(200)}" for _ in range(9))]) for _ in range(rng.randrange(1, 120))) for _ in range(80)]
-    texts += [texts[-1]] * 2 + [texts[-5] + " and more of it", "漢字だけの文", "—"]
+    texts += [texts[-1]] * 2 + [texts[-5] + " and more of it", "漢字だけの文", "—", "ไทย x漢y한국 字", "a\U00020001b က្ក"]
+    han = "".join(rng.choice("的一是不了" if i % 4 == 0 else "人在有他这中大来上国个到说们为子和你地出") for i in range(400))
+    texts += [han, han[:150] + "字" + han[151:]]
     docs = hard(spark, texts)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.QUERIES["op7_fingerprints"](spark, str(tmp_path)).collect()
     hashes = {t: h for t, h in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct().collect()}
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
     assert len(got) == len(rows)
-    seen = Counter(w for _, t in rows for w in {w.lower() if w.isascii() else w for w in re.findall(r"[0-9a-zA-Z\x80-\U0010ffff]+", t)})
+    seen = Counter(w for _, t in rows for w in set(spot_words(t)))
     anchors = {w for w, n in seen.items() if n >= max(spotsigs.FEWEST, spotsigs.COMMON * len(rows))} | set(spotsigs.ANCHORS)
     assert {bytewords.hash_word(w) for w in anchors} == set(spotsigs.anchors_of(docs).tolist()) and len(anchors) > len(set(spotsigs.ANCHORS))
     want = Counter()
@@ -485,6 +493,8 @@ def test_fingerprints(spark, tmp_path):
     for i, t in enumerate(texts):
         by_text[t or ""].add(prints[i])
         assert len(__import__("base64").b64decode(prints[i])) // 4 == len(slow_spots(t, anchors))
+    pair = [np.frombuffer(__import__("base64").b64decode(prints[len(texts) - k]), "<u4") for k in (1, 2)]
+    assert 0.8 < spotsigs.likeness(*pair) < 1
     assert all(len(x) == 1 for x in by_text.values()) and prints[0] == prints[1] == "" and prints[4] and prints[4] != prints[5]
     empty(spark).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert queries.op7_fingerprints(spark, str(tmp_path / "none")).isEmpty()
@@ -775,6 +785,17 @@ def test_word_hashes():
         assert counts.sum() == len(flat) == len(words) and len(set(words.tolist())) == len(set(flat)) == len(set(zip(words.tolist(), flat, strict=True)))
 
 
+def test_characters_that_are_words():
+    """Every code point alone, against the ranges."""
+    import regex
+
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    raw = "".join(f"x{c}y " for c in points).encode()
+    for block in (4096, 1 << 19):
+        _, starts_at = bytewords.hashed_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), block=block, single=True)
+        assert starts_at[0] == sum(len(w) for w in (regex.findall(rf"[{UNSPACED}]|[^{UNSPACED}\x20\x09-\x0D]+", f"x{c}y") for c in points))
+
+
 def test_registered_queries(spark, tmp_path):
     """op5, op6, op8, op9 and op10 as they are registered, against the libraries and brute force."""
     import sentencepiece
