@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bucketed
+from .links import Links, by_source
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -37,9 +38,10 @@ def link_counts(edges: DataFrame) -> DataFrame:
     return multi.join(out_degree(edges), "src").select("src", "dst", (F.col("links") / F.col("outdeg")).alias("share"))
 
 
-def push(ranks: DataFrame, shares: DataFrame) -> DataFrame:
+def push(ranks: DataFrame, shares: Links) -> DataFrame:
     """``dst, p``: what the targets receive."""
-    return ranks.join(shares, ranks["id"] == shares["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("p"))
+    sent = shares.meet(ranks, [F.col("dst"), (F.col("rank") * F.col("share")).alias("p")])
+    return sent.groupBy("dst").agg(F.sum("p").alias("p"))
 
 
 def received(all_nodes: DataFrame, pushed: DataFrame) -> DataFrame:
@@ -60,7 +62,8 @@ def pagerank(edges: DataFrame, alpha: float, iterations: int) -> DataFrame:
 
     Links lie in buckets of their source, nodes and what they received in buckets of their id. A
     round joins them where they lie and shuffles nothing but the contributions, summed on the
-    sender's side first; its result is written once, and the driver gets one number."""
+    sender's side first; its result is written once, and the driver gets one number. Links of hubs
+    lie apart and get the hubs' ranks by broadcast."""
     if not 0 <= alpha <= 1 or iterations < 0:
         raise ValueError("alpha must be in [0, 1] and iterations not negative")
     edges = edges.select("src", "dst").filter("src is not null and dst is not null")
@@ -69,7 +72,7 @@ def pagerank(edges: DataFrame, alpha: float, iterations: int) -> DataFrame:
     ranks = every.withColumn("rank", F.lit(1.0 / n if n else 0.0))
     if not n or not iterations:
         return ranks
-    shares = bucketed(link_counts(edges), "shares", "src")
+    shares = by_source(edges, link_counts, "shares")
     for _ in range(iterations):
         got = bucketed(received(every, push(ranks, shares)), "received", "id")
         ranks = adjust(got, alpha, n, missing_mass(got))

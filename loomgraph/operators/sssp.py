@@ -5,23 +5,27 @@ distances and predecessors are those of full rounds. On equal distances within a
 predecessor wins; an old one stays unless the distance falls.
 
 Links lie in buckets of their source and the state in buckets of its node, so a round joins them
-where they lie and shuffles the offers alone; it writes the reached nodes once.
+where they lie and shuffles the offers alone; it writes the reached nodes once. Links of hubs lie
+apart and get the hubs' state by broadcast.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bucketed
+from .links import Links, by_source
 
 STATE = "id long, dist long, prev long, round int"
 
 
-def relax(frontier: DataFrame, links: DataFrame) -> DataFrame:
+def relax(frontier: DataFrame, links: Links) -> DataFrame:
     """``id, best (dist, prev)`` offered by the frontier."""
-    sent = frontier.join(links, frontier["id"] == links["src"])
-    return sent.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("prev"))).alias("best"))
+    offer = F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("prev"))
+    return links.meet(frontier, [F.col("dst"), offer.alias("offer")]).groupBy(F.col("dst").alias("id")).agg(F.min("offer").alias("best"))
 
 
 def search(edges: DataFrame, source: int, iterations: int = 0, weighted: bool = True, until: str = "distance") -> tuple[DataFrame, list[dict]]:
@@ -32,11 +36,11 @@ def search(edges: DataFrame, source: int, iterations: int = 0, weighted: bool =
     spark = edges.sparkSession
     w = F.col("w") if weighted else F.lit(1).cast("long")
     # Of parallel edges the least weight decides.
-    links = bucketed(edges.filter("src is not null and dst is not null").groupBy("src", "dst").agg(F.min(w).alias("w")), "links", "src")
-    if weighted and not links.filter("w < 0").isEmpty():
+    links = by_source(edges.filter("src is not null and dst is not null"), lambda e: e.groupBy("src", "dst").agg(F.min(w).alias("w")), "links")
+    if weighted and not all(x.filter("w < 0").isEmpty() for x in links.parts()):
         raise ValueError("weights must not be negative")
-    senders = links.select(F.col("src").alias("id"), F.lit(True).alias("sends")).distinct()
-    there = not links.filter((F.col("src") == source) | (F.col("dst") == source)).isEmpty()
+    senders = reduce(DataFrame.unionByName, [x.select(F.col("src").alias("id"), F.lit(True).alias("sends")).distinct() for x in links.parts()])
+    there = not all(x.filter((F.col("src") == source) | (F.col("dst") == source)).isEmpty() for x in links.parts())
     state = spark.createDataFrame([(source, 0, None, 0)] if there else [], STATE)
     counts, last_new, k = [], 0, 0
     while there and (not iterations or k < iterations):

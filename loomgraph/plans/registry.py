@@ -12,6 +12,7 @@ from ..operators import chunking
 from ..operators import dedup_store as ds
 from ..operators import pagerank as pr
 from ..operators import sssp as sp
+from ..operators.links import Links
 from ..session import saved, scratch_dir
 from ..sources import edges as src
 from ..verify import differences
@@ -48,7 +49,7 @@ def _paths(graph, k: int, weighted: bool = True, until: str = "distance") -> Que
 def _pushed(s: SparkSession, d: str) -> DataFrame:
     g = src.dense_graph(s, d)
     every = pr.nodes(g)
-    return pr.push(every.withColumn("rank", F.lit(1.0 / every.count())), pr.link_counts(g))
+    return pr.push(every.withColumn("rank", F.lit(1.0 / every.count())), Links(pr.link_counts(g)))
 
 
 def _mass(s: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 _local: dict[str, str] = {}
 _shipped: set[str] = set()
 _scratch: dict[str, str] = {}
+_tables: dict[str, list[str]] = {}
 
 
 def session(name: str = "loomgraph", **conf: str) -> SparkSession:
@@ -61,8 +62,10 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Remove all that :func:`saved` wrote in this application. Results that still read it are
-    lost."""
+    """Remove all that :func:`saved` and :func:`bucketed` wrote in this application, and the
+    latter's catalog entries. Results that still read it are lost."""
+    for name in _tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     if at := _scratch.pop(spark.sparkContext.applicationId, None):
         path = spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -84,11 +87,19 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, tag: str, key: str) -> DataFrame:
+def bucket_count(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bucketed(df: DataFrame, tag: str, key: str, deal: bool = False) -> DataFrame:
     """As :func:`saved`, in as many buckets of ``key`` as a shuffle has partitions: joins and sums
-    by that key then need no exchange on this side."""
+    by that key then need no exchange on this side. Each task writes a file for each bucket that
+    it has rows of, so ``deal`` shuffles rows that don't lie by ``key`` yet."""
     spark = df.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = bucket_count(spark)
     name = f"loomgraph_{tag}_{uuid.uuid4().hex}"
+    if deal:
+        df = df.repartition(buckets, key)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
     df.write.bucketBy(buckets, key).option("path", f"{scratch_dir(spark)}/{name}").format("parquet").saveAsTable(name)
     return spark.table(name)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import pagerank as pr
 from loomgraph.operators import sssp as sp
+from loomgraph.operators.links import HUBS, by_source
 from loomgraph.sources import edges as src
 
 F1 = [(1, 2, 10), (1, 3, 5), (1, 5, 2)]
@@ -82,7 +83,8 @@ def test_a_round_shuffles_the_contributions_alone(spark):
     try:
         g = spark.createDataFrame([(i, (i * 7 + 1) % 50, 1) for i in range(200)], WEIGHTED)
         every = bucketed(pr.nodes(g), "nodes", "id")
-        shares = bucketed(pr.link_counts(g), "shares", "src")
+        shares = by_source(g, pr.link_counts, "shares")
+        assert shares.heavy is None
         step = pr.received(every, pr.push(every.withColumn("rank", F.lit(0.02)), shares))
         plan = step._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange ") == 1, plan
@@ -90,6 +92,42 @@ def test_a_round_shuffles_the_contributions_alone(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_hubs(spark):
+    """Sources with a large share of all links, some of them parallel: their links lie apart, each
+    bucket is one file, and ranks and paths are those of plain rounds."""
+    rng = random.Random(8)
+    es = [(0, rng.randrange(1, 300), rng.randrange(1, 9)) for _ in range(900)] + [(1, i, 2) for i in range(200, 400)] + [(rng.randrange(400), rng.randrange(400), rng.randrange(1, 9)) for _ in range(500)] + [(None, 3, 1), (3, None, 1)]
+    g = spark.createDataFrame(es, WEIGHTED)
+    es = es[:-2]
+    links = by_source(g.filter("src is not null and dst is not null"), pr.link_counts, "shares")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {0, 1} <= {r["id"] for r in links.hubs.collect()} and links.hubs.count() <= HUBS * buckets
+    assert links.usual.filter("src in (0, 1)").isEmpty() and len(links.usual.inputFiles()) <= buckets
+    every = sorted({x for a, b, _ in es for x in (a, b)})
+    out = {a: sum(e[0] == a for e in es) for a in every}
+    rank = dict.fromkeys(every, 1 / len(every))
+    for _ in range(3):
+        got = dict.fromkeys(every, 0.0)
+        for a, b, _ in es:
+            got[b] += rank[a] / out[a]
+        lost = 1 - sum(got.values())
+        rank = {v: 0.2 / len(every) + 0.8 * (lost / len(every) + got[v]) for v in every}
+    assert {r["id"]: pytest.approx(r["rank"], rel=1e-9) for r in pr.pagerank(g, 0.2, 3).collect()} == rank
+    for source, weighted in ((0, True), (5, True), (0, False)):
+        dist = {source: 0}
+        while True:
+            best = dict(dist)
+            for a, b, w in es:
+                if a in dist:
+                    best[b] = min(best.get(b, 1 << 60), dist[a] + (w if weighted else 1))
+            if best == dist:
+                break
+            dist = best
+        assert {r["id"]: r["dist"] for r in sp.sssp(g, source, 0, weighted).collect()} == dist
+    with pytest.raises(ValueError, match="negative"):
+        sp.sssp(g.unionByName(spark.createDataFrame([(0, 5, -1)], WEIGHTED)), 0)
+
+
 def test_many_rounds(spark):
     """A long chain with a detour: more rounds than tables are kept apart."""
     es = [(i, i + 1, 1) for i in range(14)] + [(0, 14, 50), (3, 9, 20), (14, 0, 1)]
