@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("delete")
     a.add_argument("path")
     a.add_argument("store")
-    for name in ("vacuum", "report"):
+    for name in ("vacuum", "repair", "report"):
         sub.add_parser(name).add_argument("store")
     return p
 
@@ -67,6 +67,8 @@ def main(argv: list[str] | None = None) -> None:
                 store.fetch(args.path, args.target)
             elif args.command == "vacuum":
                 store.vacuum()
+            elif args.command == "repair":
+                print(f"removed markers: {len(store.repair())}")
             else:
                 told = store.report()
         if told is not None:

@@ -15,6 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+BATCH_BYTES = 1 << 20
+#: About what a row takes beside its bytes.
+ROW_BYTES = 128
+
 
 def check_sizes(least: int, avg: int, most: int) -> None:
     if any(x < 1 or x & (x - 1) for x in (least, avg, most)) or least > most:
@@ -68,15 +72,42 @@ def cuts(n: int, at: np.ndarray, least: int, most: int) -> list[int]:
     return ends
 
 
+def _files(batches):
+    """Path and bytes of each file; null content is empty."""
+    for batch in batches:
+        for path, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield path, cell.as_py() or b""
+
+
+def _gathered(rows, kinds: dict[str, pa.DataType]):
+    """Batches of about BATCH_BYTES of rows: neither one for each small file nor a large file whole."""
+    names, binary = list(kinds), [i for i, kind in enumerate(kinds.values()) if kind == pa.binary()]
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += ROW_BYTES + sum(len(row[i]) for i in binary)
+        if size >= BATCH_BYTES:
+            yield _batch(held, names, kinds)
+            held, size = [], 0
+    if held:
+        yield _batch(held, names, kinds)
+
+
+def _batch(held: list[tuple], names: list[str], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds.values(), strict=True)], names)
+
+
 def anchor_points(files: DataFrame, least: int, avg: int, base: int = 257, byte_mode: str = "signed") -> DataFrame:
     """``path, end_offset`` of all anchors."""
     check_sizes(least, avg, least)
 
+    def rows(batches):
+        for path, data in _files(batches):
+            for end in anchors(data, least, avg, base, byte_mode):
+                yield path, int(end)
+
     def run(batches):
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                at = anchors(data.as_py() or b"", least, avg, base, byte_mode)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(at), pa.string()), pa.array(at)], ["path", "end_offset"])
+        return _gathered(rows(batches), {"path": pa.string(), "end_offset": pa.int64()})
 
     return files.select("path", "content").mapInArrow(run, "path string, end_offset long")
 
@@ -86,14 +117,18 @@ def chunk(files: DataFrame, least: int, avg: int, most: int, base: int = 257, by
     request, ``content``. A null or empty file has no chunks. ``min = avg = max`` cuts evenly."""
     check_sizes(least, avg, most)
 
+    kinds = {"path": pa.string(), "chunk_no": pa.int32(), "start_offset": pa.int64(), "size": pa.int64(), "hash": pa.string()}
+    if with_content:
+        kinds["content"] = pa.binary()
+
+    def rows(batches):
+        for path, data in _files(batches):
+            ends = cuts(len(data), anchors(data, least, avg, base, byte_mode), least, most)
+            for no, (a, b) in enumerate(zip([0, *ends], ends, strict=False), 1):
+                part = data[a:b]
+                yield (path, no, a, b - a, base64.b64encode(hashlib.sha256(part).digest()).decode(), *[part] * with_content)
+
     def run(batches):
-        for batch in batches:
-            for path, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = cell.as_py() or b""
-                ends = cuts(len(data), anchors(data, least, avg, base, byte_mode), least, most)
-                starts = [0, *ends[:-1]][: len(ends)]
-                parts = [data[a:b] for a, b in zip(starts, ends, strict=True)]
-                columns = [pa.array([path] * len(ends), pa.string()), pa.array(range(1, len(ends) + 1), pa.int32()), pa.array(starts, pa.int64()), pa.array(map(len, parts), pa.int64()), pa.array([base64.b64encode(hashlib.sha256(p).digest()).decode() for p in parts], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(parts, pa.binary())] * with_content, ["path", "chunk_no", "start_offset", "size", "hash"] + ["content"] * with_content)
+        return _gathered(rows(batches), kinds)
 
     return files.select("path", "content").mapInArrow(run, "path string, chunk_no int, start_offset long, size long, hash string" + ", content binary" * with_content)

@@ -11,6 +11,7 @@ of its container by offset and size. Reference counts are derived from the recip
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pandas as pd
@@ -30,6 +31,7 @@ COMPACT = 0.5
 INDEX = "hash string, container_id long, offset long, size long"
 RECIPE = "path string, chunk_no int, hash string"
 CONTAINERS = "container_id long, content binary"
+_MARKER = re.compile(r"(delta|full) ([0-9]+-[0-9a-f]{32})")
 
 
 class Conflict(RuntimeError):
@@ -136,20 +138,30 @@ class DedupStore:
         return [s.getPath().getName() for s in self.fs.listStatus(self._path(folder))] if self.fs.exists(self._path(folder)) else []
 
     def _commits(self) -> dict[int, tuple[str, str]]:
-        """For each version the folder of its metadata and its kind; the marker holds both."""
+        """For each version the folder of its metadata and its kind; the marker holds both, in
+        whole. One that isn't whole is of a commit under way, or of one that died."""
         out = {}
         for name in self._names("commits"):
             stream = self.fs.open(self._path(f"commits/{name}"))
             try:
-                kind, folder = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+                line = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
             finally:
                 stream.close()
-            out[int(name)] = (folder, kind)
+            if whole := _MARKER.fullmatch(line):
+                out[int(name)] = (whole[2], whole[1])
         return out
 
     def version(self) -> int:
         """The newest committed version; 0 for an absent store, which is empty."""
-        return max(map(int, self._names("commits")), default=0)
+        return max(self._commits(), default=0)
+
+    def repair(self) -> list[int]:
+        """Remove the markers of commits that died between creating and filling them, which hold
+        up all later commits; their versions. Only while no other run commits."""
+        broken = sorted({int(name) for name in self._names("commits")} - self._commits().keys())
+        for v in broken:
+            self.fs.delete(self._path(f"commits/{v}"), False)
+        return broken
 
     def _parts(self) -> tuple[str | None, list[str]]:
         """The folder of the newest checkpoint, and those of the later deltas."""
@@ -205,6 +217,8 @@ class DedupStore:
             # Created only if it isn't there: one of two runs gets the version.
             out = self.fs.create(self._path(f"commits/{based_on + 1}"), False)
         except Py4JJavaError as e:
+            if not self.fs.exists(self._path(f"commits/{based_on + 1}")):
+                raise
             raise Conflict(f"version {based_on + 1} was committed by another run") from e
         try:
             out.write(f"{kind} {folder}".encode())

@@ -94,6 +94,42 @@ def test_two_uploads_at_once(spark, tmp_path):
         assert bytes(one.download(n).first()["content"]) == F1 + n.encode()
 
 
+def test_a_commit_that_died(spark, tmp_path):
+    """An empty or torn marker changes nothing for readers, holds up commits, and can be removed."""
+    frame = lambda n: spark.createDataFrame([(n, bytearray(F1))], "path string, content binary")
+    store = ds.DedupStore(spark, str(tmp_path / "store"))
+    store.upload(frame("a"))
+    v = store.version()
+    for torn in ("", "delta 2-abc"):
+        (tmp_path / "store" / "commits" / str(v + 1)).write_text(torn)
+        assert store.version() == v and bytes(store.download("a").first()["content"]) == F1
+        with pytest.raises(ds.Conflict):
+            store.delete("a")
+        assert store.repair() == [v + 1] and store.repair() == []
+    store.upload(frame("b"))
+    assert store.report().first()["files"] == 2
+
+
+def test_batches_of_many_and_of_large_files(spark, monkeypatch):
+    """Rows come in batches of their own size, whatever the files', and are the same rows."""
+    rng = random.Random(3)
+    raw = {f"f{i}": rng.randbytes(rng.choice([0, 1, 300, 20_000])) for i in range(60)}
+    files = spark.createDataFrame([(n, bytearray(b)) for n, b in raw.items()] + [("none", None)], "path string, content binary")
+    sizes = []
+    plain = ch._batch
+    monkeypatch.setattr(ch, "BATCH_BYTES", 5000)
+    monkeypatch.setattr(ch, "_batch", lambda *args: sizes.append(len(args[0])) or plain(*args))
+    rows = [(n, 1, 0, 5, "h", b[:3000]) for n, b in raw.items()]
+    kinds = {"path": ch.pa.string(), "chunk_no": ch.pa.int32(), "start_offset": ch.pa.int64(), "size": ch.pa.int64(), "hash": ch.pa.string(), "content": ch.pa.binary()}
+    got = [tuple(r.values()) for b in ch._gathered(iter(rows), kinds) for r in b.to_pylist()]
+    assert got == rows and 1 < len(sizes) < 60 and list(ch._gathered(iter([]), kinds)) == []
+    chunks = ch.chunk(files, 64, 128, 256, with_content=True).orderBy("path", "chunk_no").collect()
+    for n, b in raw.items():
+        mine = [r for r in chunks if r["path"] == n]
+        assert b"".join(bytes(r["content"]) for r in mine) == b and [r["chunk_no"] for r in mine] == list(range(1, len(mine) + 1))
+        assert all(r["size"] == len(r["content"]) for r in mine) and [r["start_offset"] for r in mine] == [sum(x["size"] for x in mine[:i]) for i in range(len(mine))]
+
+
 def test_checkpoints_and_compaction(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ds, "CHECKPOINTS", 3)
     rng = random.Random(9)
