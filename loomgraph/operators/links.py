@@ -41,10 +41,11 @@ def by_source(edges: DataFrame, fold: Callable[[DataFrame], DataFrame], tag: str
     """``fold(edges)``, links with ``src``, for repeated use. ``fold`` must treat sources apart."""
     spark = edges.sparkSession
     counts = edges.groupBy("src").agg(F.count("*").alias("n"))
-    least = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / (HUBS * bucket_count(spark))
-    found = [(r["src"],) for r in counts.filter(F.col("n") > least).select("src").collect()]
-    if not found:
+    sizes = counts.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    least = (sizes["all"] or 0) / (HUBS * bucket_count(spark))
+    if (sizes["most"] or 0) <= least:
         return Links(bucketed(fold(edges), tag, "src", deal=True))
+    found = [(r["src"],) for r in counts.filter(F.col("n") > least).select("src").collect()]
     hubs = spark.createDataFrame(found, "id long")
     of_hubs = F.col("src") == hubs["id"]
     usual = bucketed(fold(edges.join(F.broadcast(hubs), of_hubs, "left_anti")), tag, "src", deal=True)
