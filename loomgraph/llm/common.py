@@ -1,13 +1,23 @@
-"""Shared helpers: Arrow text buffers, slices of them, and a bounded cache."""
+"""Shared helpers: Arrow text buffers, slices of them, a bounded cache, and memory of Python workers."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 from ..session import saved, shared_dir
 
-__all__ = ["Generations", "fresh", "saved", "shared_dir", "slices", "text_buffer"]
+__all__ = ["Generations", "bound_batches", "fresh", "make_room", "saved", "shared_dir", "slices", "text_buffer"]
+
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: About a slice of the operators: a larger batch only lies in memory, on both sides.
+BATCH_BYTES = 1 << 21
+#: What operators keep in a Python worker for its next tasks.
+KEPT: list[dict] = []
 
 
 def fresh(columns, name: str) -> str:
@@ -18,6 +28,24 @@ def fresh(columns, name: str) -> str:
     return name
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches for Python end at BATCH_BYTES in this session, unless it has a limit of its own.
+    Spark's is 64 MiB, and 10,000 long texts are one batch: a task holds it in the JVM and in
+    Python, with what comes back. A frame's batches are cut when it is run, so the limit stays."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+
+def make_room() -> None:
+    """Drop what other operators keep in this Python worker, which Spark hands from stage to
+    stage, and give freed memory back to the system, where it can be done."""
+    for cache in KEPT:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n + 1 offsets of a string column; null counts as the empty text."""
     column = column.cast(pa.large_string()).fill_null("")

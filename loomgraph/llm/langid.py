@@ -9,6 +9,7 @@ document's language is the one with the most letters; the score is its share of
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, text_buffer
+from .common import fresh, make_room, slices, text_buffer
 
 #: Trigram buckets (fewer with many languages: the table has TABLE numbers at most), and the labels
 #: beyond which a column holds no languages.
@@ -206,7 +207,9 @@ def train(
     if not languages:
         return Model([], np.zeros((0, buckets), np.float32), np.zeros((len(_NAMES), 0), bool), switch_penalty)
     number = {g: i for i, g in enumerate(languages)}
-    shares = df.sparkSession.createDataFrame([(r["lang"], number[r["lang"]], min(1.0, (1.3 * sample_per_language + 20) / r["count"])) for r in counts], "lang string, no int, share double")
+    # One literal: rows of Python objects would start a daemon and workers of their own, which stay.
+    rows = json.dumps([{"lang": r["lang"], "no": number[r["lang"]], "share": min(1.0, (1.3 * sample_per_language + 20) / r["count"])} for r in counts])
+    shares = df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<lang:string,no:int,share:double>>")))
     near = named.join(F.broadcast(shares), "lang").filter((F.pmod("pick", F.lit(1_000_003)) / 1_000_003.0) <= F.col("share"))
     row = F.row_number().over(Window.partitionBy("no").orderBy("pick", "text"))
     sample = near.select("text", "no", "pick").withColumn("row", row).filter(F.col("row") <= sample_per_language).select("text", "no", "row")
@@ -260,6 +263,7 @@ def identify(
     span_type = pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
+        make_room()
         labels_of = np.array([*model.languages, UND], object)
         n_lang = len(model.languages)
         for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import U, hashed_words, mix, shingle_sets
-from .common import saved, slices, text_buffer
+from .common import make_room, saved, slices, text_buffer
 
 SHINGLE_WORDS, CHUNKS, WIDTH, ERRORS = 5, 12, 5, 1
 SLICE = 1 << 21
@@ -81,6 +81,7 @@ def parity_sketch(items: np.ndarray) -> np.ndarray:
 
 def sign(df: DataFrame, id_col: str, text_col: str, shingle_words: int, functions: int) -> DataFrame:
     def run(batches):
+        make_room()
         for batch in batches:
             buf, offsets = text_buffer(batch.column(1))
             for lo, hi in slices(offsets, SLICE):

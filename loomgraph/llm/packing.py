@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, saved
+from .common import fresh, make_room, saved
 
 GROUP_ITEMS, ISLANDS, POPULATION, CHILDREN, EPOCHS = 8192, 3, 6, 24, 3
 WELL_FILLED = 0.995
@@ -127,6 +127,7 @@ def _evolved(groups: DataFrame, capacity: int, islands: int, population: int, ch
     for epoch in range(epochs):
 
         def run(frames, epoch=epoch):
+            make_room()
             for pdf in frames:
                 rows = []
                 for grp, island, sizes, start in zip(pdf.grp, pdf.island, pdf.sizes, pdf.start, strict=True):
@@ -154,6 +155,7 @@ def _packed(items: DataFrame, capacity: int, group_items: int, islands: int, pop
     best = _evolved(groups, capacity, islands, population, children, epochs).select("grp", "best")
 
     def place(frames):
+        make_room()
         for pdf in frames:
             for grp, items_, best_ in zip(pdf.grp, pdf["items"], pdf.best, strict=True):
                 length = np.array([x["length"] for x in items_], np.int64)

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, slices, text_buffer
+from .common import KEPT, Generations, slices, text_buffer
 from .wordcache import WordIds
 
 CACHE_WORDS, CACHE_STEMS = 1_000_000, 100_000
+#: Bytes of text that are encoded at once: their ids and places take 15 times as much.
+SLICE = 1 << 19
 #: Space, tab and line ends.
 SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, 0x09, 0x0A, 0x0D]] = True
@@ -27,6 +29,7 @@ END_ID = 1
 #: Marks that may follow a word; each is a word of its own to the tokenizer.
 MARKS = ".,;:!?|"
 _encoders: dict[str, WordEncoder] = {}
+KEPT.append(_encoders)
 
 
 class WordEncoder:
@@ -145,7 +148,7 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int, id_col: str = "doc
         for batch in batches:
             docs = batch.column(0).to_pylist()
             buf, offsets = text_buffer(batch.column(1))
-            for lo, hi in slices(offsets, 1 << 21):
+            for lo, hi in slices(offsets, SLICE):
                 base = int(offsets[lo])
                 ids, at = enc.buffer(buf[base : offsets[hi]], offsets[lo : hi + 1] - base)
                 raw, at = ids.tobytes(), (4 * at).tolist()

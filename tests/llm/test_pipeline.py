@@ -1,9 +1,11 @@
 from collections import defaultdict
 
 import corpus_pipeline
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import queries, tokens
+from loomgraph.llm import common, langid, neardup, queries, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +90,55 @@ def test_run(spark):
         load[r["sequence_id"]] += r["length"]
     want = {i: len(tokenizer.encode(secrets.redacted(texts[i], secrets.spans_of(texts[i])[1]), add_special_tokens=False).ids) + 1 for i in kept}
     assert length == want and len(load) == -(-sum(load.values()) // 4096)
+
+
+def test_batches_are_bounded(spark):
+    """Every stage bounds the bytes of a batch for Python; a limit of the session's own stays."""
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("some words "), 400), "id").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(4400).cast("long").alias("n_chars"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    before = spark.conf.get(common.ARROW_BYTES, None)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(common.ARROW_BYTES)
+            stage(spark, docs.limit(10), SF)
+            most = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+            assert max(most) <= 2 * common.BATCH_BYTES and sum(most) > 3000 * 4400
+        spark.conf.set(common.ARROW_BYTES, "1000000")
+        corpus_pipeline.secret_scan(spark, docs, SF)
+        assert spark.conf.get(common.ARROW_BYTES) == "1000000"
+    finally:
+        spark.conf.unset(common.ARROW_BYTES) if before is None else spark.conf.set(common.ARROW_BYTES, before)
+
+
+def test_make_room(spark, monkeypatch):
+    """Near-dedup and language ID drop what packing kept in the worker that they get."""
+    path = queries.tokenizer("word_bpe_49k.json")
+    docs = spark.createDataFrame([(1, "some words", "en")], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    made = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *a, **b: made.append(run))
+    neardup.sign(docs, "doc_id", "text", 5, 60)
+    langid.identify(docs, model)
+    assert len(made) == 2
+    for run in made:
+        assert tokens.encoder(path) and tokens._encoders
+        list(run(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words"])], ["doc_id", "text"])])))
+        assert not tokens._encoders
+
+
+def test_train_starts_no_plain_workers(spark, monkeypatch):
+    """The labels' shares come without rows of Python objects, whatever the labels are."""
+    odd = ['a"b', "a\\b", "a\nb", "漢 \U0001f600", "{}", ""]
+    rows = [(i, f"some words of text {i} " * 5, i % len(odd)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, no int")
+    named = F.array(*map(F.lit, odd))[F.col("no")]
+    docs = common.saved(docs.select("doc_id", "text", named.alias("lang"), F.format_string("l%d", "no").alias("plain")), "labels")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **b: pytest.fail("createDataFrame"))
+    model, plain = langid.train(docs), langid.train(docs, lang_col="plain")
+    assert model.languages == sorted(odd)
+    for i, g in enumerate(odd):
+        assert (model.scores[model.languages.index(g)] == plain.scores[i]).all()
