@@ -11,11 +11,14 @@ from pyspark.sql import SparkSession
 
 from ..session import saved, shared_dir
 
-__all__ = ["Generations", "bound_batches", "fresh", "make_room", "saved", "shared_dir", "slices", "text_buffer"]
+__all__ = ["Generations", "bound_batches", "bound_reads", "fresh", "make_room", "saved", "shared_dir", "slices", "text_buffer"]
 
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: About a slice of the operators: a larger batch only lies in memory, on both sides.
 BATCH_BYTES = 1 << 21
+READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+#: Rows that the Parquet reader unpacks at once: a few MB of long texts.
+BATCH_ROWS = 512
 #: What operators keep in a Python worker for its next tasks.
 KEPT: list[dict] = []
 
@@ -36,6 +39,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
 
 
+def bound_reads(spark: SparkSession) -> None:
+    """Parquet is unpacked BATCH_ROWS rows at once in this session, unless it has a number of its
+    own. Spark's 4,096 long texts lie in arrays of tens of MB that grow by doubling, anew in every
+    task, and the JVM's heap grows with what they leave. As above, the limit stays."""
+    if spark.conf.get(READ_ROWS, None) is None:
+        spark.conf.set(READ_ROWS, str(BATCH_ROWS))
+
+
 def make_room() -> None:
     """Drop what other operators keep in this Python worker, which Spark hands from stage to
     stage, and give freed memory back to the system, where it can be done."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, langid, matrix, neardup, ordered, packing, pieces, secrets, spotsigs, tokencount, tokens, topk
-from .common import shared_dir
+from .common import bound_batches, bound_reads, shared_dir
 
 CAPACITY = 4096
 
@@ -35,6 +35,8 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    bound_reads(spark)
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(~held_out()))
     out = langid.identify(docs, model, keep=("doc_id",))

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,36 @@ def test_langid_held_out(spark):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) >= 0.95 * len(held)
 
 
+def test_langid_bounds_batches(spark, tmp_path):
+    """The query bounds what a task unpacks and hands to Python at once, a limit of the session's
+    own stays, and its rows are the same with either."""
+    text = F.concat(F.repeat(F.element_at(F.array(F.lit("some words "), F.lit("quelques mots "), F.lit("\u0441\u043b\u043e\u0432\u0430 ")), (F.col("id") % 3 + 1).cast("int")), 300), "id")
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.element_at(F.array(F.lit("en"), F.lit("fr"), F.lit("ru")), (F.col("id") % 3 + 1).cast("int")).alias("lang"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    keys = (common.ARROW_BYTES, common.READ_ROWS)
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        got = sorted(map(tuple, queries.op2_langid(spark, str(tmp_path)).collect()))
+        most = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert max(most) <= 2 * common.BATCH_BYTES and sum(most) > 3000 * 3300
+        assert spark.conf.get(common.READ_ROWS) == str(common.BATCH_ROWS)
+        own = dict(zip(keys, ("67108864", "4096"), strict=True))
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        assert sorted(map(tuple, queries.op2_langid(spark, str(tmp_path)).collect())) == got and len(got) == 3000
+        assert {k: spark.conf.get(k) for k in keys} == own
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_chat_layouts(spark):
     js = ['{"prompt": "p", "completion": "c"}', '{"instruction": "i", "input": "x", "output": "o"}', '{"messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": null}]}', '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "r"}]}', '{"what": 1}', "no json", None, '{"system": "", "prompt": "p", "response": "r"}']
     df = spark.createDataFrame(list(enumerate(js)), "i int, js string").withColumn("layout", F.lit(0))
